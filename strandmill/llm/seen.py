@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .perfect_hash import SealedPartition
 
 #: Keys of a partition's open batch before it is sealed, and rows compared at once before the shuffle.
-SEAL_KEYS, LOCAL_ROWS = 1 << 18, 1 << 17
+SEAL_KEYS, LOCAL_ROWS = 1 << 15, 1 << 15
 
 #: How a repeated row was recognised: in one piece of the input, in the open batch, by a sealed partition's fingerprint.
 LOCAL, BATCH, SEALED = 0, 1, 2
