@@ -64,11 +64,3 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:
         pass  # the session has ended; the folder's owner clears it
-
-
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
