@@ -11,6 +11,7 @@ from ..functions.bytestrings import display
 from ..functions.names import first_part, name_id
 from ..operators import filters, lint, metrics, pairs, parsing, sampling, validators
 from ..schema import as_reads
+from ..streaming import reads as streams
 from .runtime import table
 
 FILE = ["file_id"]
@@ -132,6 +133,17 @@ def names_loaded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "name_list").agg(F.countDistinct("name").alias("names"))
 
 
+def stream_lint(spark: SparkSession, d: str) -> DataFrame:
+    arriving = as_reads(streams.stream_reads(spark, f"{d}/fastq_reads.parquet"))
+    return streams.collected(streams.lint_stream(arriving, keys=FILE)).select(*_VIOLATION, "message")
+
+
+def stream_daily(spark: SparkSession, d: str) -> DataFrame:
+    arriving = streams.stream_reads(spark, f"{d}/fastq_reads.parquet")
+    counts = streams.collected(streams.windowed_counts(arriving, "received_at", keys=["instrument_id"]), "complete")
+    return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return parsing.split_loaded(parsing.parse_lines(table(spark, d, "lint_lines"), keep=["line_id"]))[1]
 
@@ -144,7 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
         reads, name_rules, lint_reads, lint_p001, lint_s007, lint_level_low, lint_counts, pair_parity, filter_pattern, filter_names,
         filter_missing_segments, sample_fraction, sample_exact, describe_lengths, describe_files, describe_quality, describe,
-        running_longest, names_loaded, p6_found, p6_loaded,
+        running_longest, names_loaded, stream_lint, stream_daily, p6_found, p6_loaded,
     )}
     return out | {f"lint_{s.code.lower()}": _lint(s.code) for s in validators.SINGLE}
 
@@ -231,6 +243,9 @@ def oracle_sql() -> dict[str, str]:
         "describe": f"""WITH {_GRAPHIC} SELECT count(*) AS record_count, min(strlen(sequence)) AS min_sequence_length, max(strlen(sequence)) AS max_sequence_length,
             (SELECT string_agg(printf('%.6f', mean_quality), ',' ORDER BY position) FROM q) AS avg_quality_score_per_position FROM g""",
         "running_longest": f"WITH {_GRAPHIC} SELECT record_no, longest FROM g",
+        "stream_lint": f"WITH {_R} " + " UNION ALL ".join(_violation(c, *r) for c, r in _RULES.items()),
+        "stream_daily": """SELECT strftime(received_at, '%Y-%m-%d') AS window_start, instrument_id, count(*) AS record_count FROM fastq_reads
+            WHERE received_at IS NOT NULL GROUP BY ALL""",
         "names_loaded": "SELECT count(DISTINCT name) AS names FROM name_list",
         "p6_found": _P6 + "SELECT line_id, reason FROM judged WHERE reason <> ''",
         "p6_loaded": _P6 + """SELECT line_id, file_id, logged_at, f[1] AS source, CAST(f[2] AS BIGINT) AS record_no, CAST(f[3] AS BIGINT) AS definition_end,

@@ -1,0 +1,6 @@
+"""Reading and writing FASTQ files, name lists and raw copies."""
+
+from .fastq import FastqSource, read_fastq, read_segments, register, write_fastq, write_segments
+from .text import copy_bytes, read_names
+
+__all__ = ["FastqSource", "copy_bytes", "read_fastq", "read_names", "read_segments", "register", "write_fastq", "write_segments"]
