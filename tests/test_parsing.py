@@ -41,7 +41,7 @@ def slow(text):
         at += 1
     if len(fields) != 9:
         return "columns"
-    number = lambda x: int(x) if x and all(c in "0123456789" for c in x) and int(x) < 2**63 else -1
+    number = lambda x: int(x[-25:]) if x and all(c in "0123456789" for c in x) and not x[:-25].strip("0") and int(x[-25:]) < 2**63 else -1
     n = [number(x) for x in fields[1:5]]
     ok = fields[0] and min(n) >= 0 and 0 < n[1] < n[2] < n[3] and (not fields[7] or number(fields[7]) > 0)
     kinds = (fields[5] in P.CODES and fields[6] in P.LINE_TYPES) or fields[5] == fields[6] == ""
