@@ -33,14 +33,17 @@ _NAMES = [f.name for f in _ROWS]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """The batches in order, several together up to about ``rows`` rows."""
+    """The rows in order, ``rows`` at a time."""
     held, n = [], 0
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
     if n:
         yield pa.Table.from_batches(held)
 
