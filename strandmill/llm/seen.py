@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +64,7 @@ def _locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table(
             [
                 pa.array(spread), chunk.column("ord"),
-                pc.if_else(pa.array(repeat), pa.scalar(None, pa.string()), chunk.column("key")),
+                chunk.column("key").take(pa.array(np.arange(len(by)), mask=repeat)),
                 chunk.column("h2"), pa.array(np.where(repeat, LOCAL, FIRST).astype(np.int32)),
                 pa.nulls(len(by), pa.binary()),
             ],
@@ -117,7 +116,7 @@ def _in_order(batches: Iterator[pa.RecordBatch], seal_keys: int, emit_sealed: bo
             found = rows.take(pa.array(answers))
             found = found.set_column(4, "how", pa.array(how[answers]))
             # A key named only where an exact check has to follow.
-            names = pc.if_else(pa.array(how[answers] == SEALED), found.column("key"), pa.scalar(None, pa.string()))
+            names = rows.column("key").take(pa.array(answers, mask=how[answers] != SEALED))
             yield from found.set_column(2, "key", names).combine_chunks().to_batches()
 
 

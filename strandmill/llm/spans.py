@@ -260,12 +260,12 @@ def _index(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordB
         yield from batch()
 
 
-def _refined(rows: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFrame:
+def _refined(rows: DataFrame, texts: DataFrame, span: int, gram: int, all_pairs: bool) -> DataFrame:
     """Links of crowded windows: ``(a, b)`` only where a whole span around the window agrees.
 
     ``rows``: ``(doc, hash)``.  Each text's spans around its crowded windows are hashed
-    whole, so pairs come only from texts that share a span, not from all that share a
-    common phrase.
+    whole, so links come only from texts that share a span, not from all that share a
+    common phrase.  Without ``all_pairs`` each text is linked to the least of its span.
     """
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("whole", T.LongType())])
     wanted = rows.groupBy("doc").agg(F.collect_set("hash").alias("hashes"))  # of one text: at most its windows
@@ -285,8 +285,10 @@ def _refined(rows: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc), pa.int64()), pa.array(found)], names=["doc", "whole"])
 
     spans = texts.join(wanted, "doc").select("doc", "text", "hashes").mapInArrow(run, schema)
-    groups = spans.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("whole"))).where(F.col("n") > 1)
-    left, right = groups.select("whole", F.col("doc").alias("a")), groups.select("whole", F.col("doc").alias("b"))
+    if not all_pairs:
+        least = spans.groupBy("whole").agg(F.min("doc").alias("a"))
+        return spans.join(least, "whole").where(F.col("a") < F.col("doc")).select("a", F.col("doc").alias("b")).distinct()
+    left, right = spans.select("whole", F.col("doc").alias("a")), spans.select("whole", F.col("doc").alias("b"))
     return left.join(right, "whole").where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
@@ -334,7 +336,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, span: int) -> DataFrame:
 
 
 def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None,
-                 crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+                 crowd: int = CROWD, all_pairs: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pairs of different texts that share a span, and the classes of equal texts.
 
     Returns ``(a, b, of_a, of_b)`` with a < b, the least ids of two classes, and
@@ -364,7 +366,7 @@ def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     many = links.where("crowd").select(F.col("a").alias("doc"), F.col("b").alias("hash"))
     pairs = few
     if not many.isEmpty():
-        pairs = few.unionByName(_refined(many, firsts.dropDuplicates(["doc"]), span, gram)).distinct()
+        pairs = few.unionByName(_refined(many, firsts.dropDuplicates(["doc"]), span, gram, all_pairs)).distinct()
     return _verified(pairs, firsts, span), classes
 
 
@@ -376,29 +378,30 @@ def pairs_of_records(verified: DataFrame, classes: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b")).distinct()
 
 
-def shared_lengths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """One row per record: ``(id_col, class_id, n_links, n_chars, shared_chars, shared_share)``.
+def shared_lengths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, crowd: int = CROWD) -> DataFrame:
+    """One row per record: ``(id_col, class_id, class_size, n_chars, shared_chars, shared_share)``.
 
-    ``shared_chars`` are the characters in spans that another record has verbatim;
-    ``n_links`` the other classes it shares one with.  A record with an equal one is
-    shared whole.  Null, short and unshared texts have 0; a null id stays a row.
+    ``shared_chars`` are the characters in spans that another record has verbatim.
+    Records of equal text are a class, named by the least id; they are shared whole.
+    Null, short and unshared texts have 0; a null id stays a row.  Links between texts
+    of a crowd go to the least of them, so nothing grows with the square of a group.
     """
-    verified, classes = shared_pairs(documents, id_col, text_col, span)
+    verified, classes = shared_pairs(documents, id_col, text_col, span, crowd=crowd, all_pairs=False)
     verified = keep(verified, "verified")
     sides = verified.select(F.col("a").alias("doc"), F.col("of_a").alias("s")).unionByName(verified.select(F.col("b").alias("doc"), F.col("of_b").alias("s")))
-    links = sides.groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     cover = (
         sides.select("doc", F.explode("s").alias("s")).select("doc", F.col("s.from").alias("from"), F.col("s.upto").alias("upto")).distinct()
         .withColumn("reach", F.max("upto").over(Window.partitionBy("doc").orderBy("from", "upto").rowsBetween(Window.unboundedPreceding, -1)))
         .groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("upto") - F.greatest(F.col("from"), F.coalesce("reach", "from")))).alias("covered"))
     )
     sizes = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("members"))
-    facts = classes.join(sizes, "doc").join(links, "doc", "left").join(cover, "doc", "left")
+    facts = classes.join(sizes, "doc").join(cover, "doc", "left")
+    number = F.col(id_col).cast("long")
     return (
         documents.select(id_col, F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
-        .join(facts.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left")
+        .join(facts.withColumnRenamed("id", "_id"), number == F.col("_id"), "left")
         .select(
-            id_col, F.coalesce("doc", F.col(id_col).cast("long")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_chars",
+            id_col, F.coalesce("doc", number).alias("class_id"), F.coalesce("members", F.lit(1).cast("long")).alias("class_size"), "n_chars",
             F.when(F.col("members") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("shared_chars"),
         )
         .withColumn("shared_share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(F.lit(0.0)))
