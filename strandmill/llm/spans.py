@@ -292,15 +292,39 @@ def _refined(rows: DataFrame, texts: DataFrame, span: int, gram: int, all_pairs:
     return left.join(right, "whole").where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
-def shared_intervals(x: str, y: str, span: int = SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The maximal stretches of each text made of windows of ``span`` that the other has verbatim too."""
-    hx, hy = window_hashes(code_points(x), span), window_hashes(code_points(y), span)
-    common, at_x, at_y = np.intersect1d(hx, hy, return_indices=True)
-    if not len(common):
+Prepared = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def prepared(text: str, span: int) -> Prepared:
+    """Hashes of a text's windows by place, the same sorted, and the places in that order."""
+    h = window_hashes(code_points(text), span).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    return h, h[order], order
+
+
+def shared_intervals(x: str, y: str, span: int = SPAN, of_y: Prepared | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The maximal stretches of each text made of windows of ``span`` that the other has verbatim too.
+
+    Windows of equal hash that run along in both texts are compared as one stretch.
+    """
+    hx = window_hashes(code_points(x), span).astype(np.int64)
+    hy, sorted_y, order = of_y or prepared(y, span)
+    if not len(hx) or not len(hy):
+        return [], []
+    where = np.minimum(np.searchsorted(sorted_y, hx), len(hy) - 1)
+    at_x = np.flatnonzero(sorted_y[where] == hx)
+    if not len(at_x):
         return [], []
-    true = np.fromiter((x[i : i + span] == y[j : j + span] for i, j in zip(at_x.tolist(), at_y.tolist())), dtype=bool, count=len(common))
-    common = common[true]
-    return _stretches(np.flatnonzero(np.isin(hx, common)), span), _stretches(np.flatnonzero(np.isin(hy, common)), span)
+    at_y = order[where[at_x]]
+    cut = np.flatnonzero((np.diff(at_x) != 1) | (np.diff(at_y) != 1)) + 1
+    true = np.ones(len(at_x), dtype=bool)
+    for first, last in zip([0, *cut.tolist()], [*cut.tolist(), len(at_x)]):
+        i, j, n = int(at_x[first]), int(at_y[first]), last - first + span - 1
+        if x[i : i + n] != y[j : j + n]:  # a hash in common by chance: each window by itself
+            true[first:last] = [x[i + k : i + k + span] == y[j + k : j + k + span] for k in range(last - first)]
+    at_x = at_x[true]
+    common = np.unique(hx[at_x])
+    return _stretches(at_x, span), _stretches(np.flatnonzero(_among(hy, common)), span)
 
 
 def _stretches(at: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -320,11 +344,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, span: int) -> DataFrame:
     """The pairs whose texts do share a span, with the stretches of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[str, Prepared] | None = None  # pairs come by b, whose text stays for its pairs
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for a, b, x, y in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns)):
-                    of_a, of_b = shared_intervals(x, y, span)
+                    if known is None or known[0] != y:
+                        known = (y, prepared(y, span))
+                    of_a, of_b = shared_intervals(x, y, span, of_y=known[1])
                     if of_a:
                         for held, new in zip(out, (a, b, [{"from": f, "upto": t} for f, t in of_a], [{"from": f, "upto": t} for f, t in of_b])):
                             held.append(new)
