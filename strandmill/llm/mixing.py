@@ -175,10 +175,9 @@ def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | N
     used = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("tokens"))
     used = used.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     there = sized.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
-    all_ = used.agg(F.sum("tokens").alias("all_tokens"))
     return (
         targets.select("source", "target_share", "max_repeats").join(used, "source", "left").join(there, "source", "left")
-        .withColumn("_k", F.lit(1)).join(all_.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        .withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # a row a target
         .select(
             "source", "target_share",
             F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"),

@@ -207,16 +207,9 @@ def error_report(df: DataFrame, key_col: str, order_col: str, seal_keys: int = S
         F.count(F.when(F.col("how") == k, 1)).alias(n) for k, n in ((LOCAL, "exact_in_piece"), (BATCH, "exact_in_batch"), (SEALED, "by_fingerprint"))
     ])
     wrong = exact_repeats(candidates, df, key_col, order_col).agg(F.count(F.when(F.col("wrong"), 1)).alias("wrong_answers"))
-    return _beside(asked, kinds, wrong).select(
+    parts = asked.unionByName(kinds, allowMissingColumns=True).unionByName(wrong, allowMissingColumns=True)
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).select(
         "*",
         F.when(F.col("lookups") > 0, F.col("wrong_answers") / F.col("lookups")).otherwise(F.lit(0.0)).alias("measured_rate"),
         F.lit(2.0**-32).alias("expected_rate_per_partition"),
     )
-
-
-def _beside(*rows: DataFrame) -> DataFrame:
-    """Tables of one row each, side by side."""
-    out = rows[0].withColumn("_k", F.lit(1))
-    for r in rows[1:]:
-        out = out.join(r.withColumn("_k", F.lit(1)), "_k")
-    return out.drop("_k")
