@@ -94,5 +94,9 @@ def mean_quality(reads: DataFrame, strict: bool | None = None) -> DataFrame:
 
 def describe(reads: DataFrame) -> DataFrame:
     """One row: the lengths and the array ``avg_quality_score_per_position``."""
-    quality = mean_quality(reads).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "mean_quality"))), lambda x: x["mean_quality"]).alias("avg_quality_score_per_position"))
-    return describe_lengths(reads).withColumn("_k", F.lit(1)).join(quality.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("position", "mean_quality"))), lambda x: x["mean_quality"])
+    quality = mean_quality(reads).agg(scores.alias("avg_quality_score_per_position"))
+    found = describe_lengths(reads)
+    names = [*found.columns, *quality.columns]
+    both = found.unionByName(quality, allowMissingColumns=True)  # two rows, each with the other's columns null
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
