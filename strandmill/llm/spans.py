@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import keep
+from ..plans.runtime import keep, spread
 
 #: Characters a shared span has at least, and of the hashed windows inside it.
 SPAN, GRAM = 200, 100
@@ -145,7 +145,7 @@ def fingerprints(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
                 once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(h[once]), pa.array(d[once])], names=["hash", "doc"])
 
-    return texts.select("doc", "text").mapInArrow(run, _PRINTS)
+    return spread(texts.select("doc", "text"), "doc").mapInArrow(run, _PRINTS)
 
 
 class WindowIndex:
