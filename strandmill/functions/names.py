@@ -12,7 +12,9 @@ SEPARATORS = "/ "
 def first_part(definition: Column, separator: str | None = None) -> Column:
     """The definition up to its first slash or space, or up to ``separator`` alone; the prefix sign stays."""
     if separator is None:
-        return F.regexp_extract(definition, r"(?s)^([^/ ]*)", 1)
+        for end in SEPARATORS:
+            definition = F.substring_index(definition, end, 1)
+        return definition
     return F.substring_index(definition, separator, 1)
 
 

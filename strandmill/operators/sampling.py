@@ -8,8 +8,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the histogram that finds the cut of an exact sample.
-CELLS = 1 << 16
+#: Hexadecimal digits of a record's digest, and of them those that name its cell in the histogram of an exact sample.
+DIGITS, CELL = 13, 4
 
 
 def check_probability(p: float) -> float:
@@ -24,20 +24,24 @@ def new_seed(seed: int | None = None) -> int:
     return random.SystemRandom().randrange(2**63) if seed is None else seed
 
 
-def _digits(seed: int, keys: list[str]) -> Column:
-    """52 bits of a digest of the seed and the record's place: the same however rows are partitioned."""
+def _digest(seed: int, keys: list[str]) -> Column:
+    """52 bits of a digest of the seed and the record's place, as hexadecimal digits, which sort as numbers do.
+
+    The same however rows are partitioned.
+    """
     parts = [F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in [*keys, "record_no"]]]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
+    return F.substring(F.md5(F.concat_ws(":", *parts)), 1, DIGITS)
 
 
 def uniform(seed: int, keys: list[str] | None = None) -> Column:
     """A number in [0, 1) for each record, one for all its segments."""
-    return _digits(seed, keys or []) / F.lit(float(2**52))
+    return F.conv(_digest(seed, keys or []), 16, 10).cast("long") / F.lit(float(16**DIGITS))
 
 
 def sample_fraction(reads: DataFrame, probability: float, seed: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Each record with this probability, all its segments together: a narrow filter, no shuffle."""
-    return reads.where(uniform(new_seed(seed), keys) <= check_probability(probability))
+    """Each record whose uniform number is at most the probability, all its segments together: a narrow filter, no shuffle."""
+    most = int(check_probability(probability) * 16**DIGITS)
+    return reads.where(_digest(new_seed(seed), keys or []) <= f"{most:0{DIGITS}x}")
 
 
 def exact_cut(reads: DataFrame, n: int, seed: int) -> tuple[Column, DataFrame | None, int]:
@@ -45,12 +49,12 @@ def exact_cut(reads: DataFrame, n: int, seed: int) -> tuple[Column, DataFrame |
 
     Returns a condition for those surely in, the records of the cell that crosses n
     that fill it up (or None), and how many records there are.  A histogram of at most
-    CELLS rows finds the crossing cell, so only about a CELLS-th of the records is sorted.
+    65,536 rows finds the crossing cell, so only about that part of the records is sorted.
     """
-    digits = _digits(seed, [])
-    cell = F.shiftright(digits, 36).cast("int")
+    digits = _digest(seed, [])
+    cell = F.substring(digits, 1, CELL)
     first = reads.where(F.col("segment") == 0)
-    counts = sorted((r.cell, r["count"]) for r in first.groupBy(cell.alias("cell")).count().collect())  # CELLS rows at most
+    counts = sorted((r.cell, r["count"]) for r in first.groupBy(cell.alias("cell")).count().collect())  # 16 ** CELL rows at most
     total = sum(c for _, c in counts)
     taken = 0
     for at, count in counts:
