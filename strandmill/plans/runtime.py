@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
+import pathlib
+import re
+import shutil
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +19,8 @@ LOCAL_CHECKPOINT_DIR = "/tmp/strandmill-checkpoints"
 #: Bytes below which Spark cuts no further splits.
 SMALL_SPLIT = 4 << 20
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests, the bench and the command line."""
@@ -30,9 +38,31 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; Catalyst prunes its columns and pushes filters into the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets the session's Python workers import this package, wherever the driver found it; once a session.
+
+    Local workers are told its folder; executors elsewhere get it as an archive from the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = pathlib.Path(__file__).resolve().parent.parent
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(package.parent), context.environment.get("PYTHONPATH")]))
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        folder = tempfile.mkdtemp(prefix=package.name)  # the driver's own; executors fetch the file from it
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/{package.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(package.rglob("*.py")):
+                z.write(path, path.relative_to(package.parent))
+        context.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's, or a local one where it names none."""
     try:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..plans.runtime import ship
 from ..schema import LINES, READS
 from . import files
 
@@ -254,6 +255,7 @@ class FastqSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the format known to a session."""
+    ship(spark)
     spark.dataSource.register(FastqSource)
 
 

@@ -13,12 +13,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.names import first_part
 from ..operators import lint, validators
-from ..plans.runtime import shared_dir
+from ..plans.runtime import shared_dir, ship
 from ..sources import files
 
 
 def stream_reads(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """Parquet files of reads as they appear in a folder; a single file is a stream of one."""
+    ship(spark)
     schema = spark.read.parquet(path).schema
     if files.is_file(path):
         path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, which a stream takes where it takes no file
