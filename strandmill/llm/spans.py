@@ -145,7 +145,7 @@ def fingerprints(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
                 once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(h[once]), pa.array(d[once])], names=["hash", "doc"])
 
-    return spread(texts.select("doc", "text"), "doc").mapInArrow(run, _PRINTS)
+    return texts.select("doc", "text").mapInArrow(run, _PRINTS)
 
 
 class WindowIndex:
@@ -311,20 +311,29 @@ def shared_intervals(x: str, y: str, span: int = SPAN, of_y: Prepared | None = N
     hy, sorted_y, order = of_y or prepared(y, span)
     if not len(hx) or not len(hy):
         return [], []
-    where = np.minimum(np.searchsorted(sorted_y, hx), len(hy) - 1)
-    at_x = np.flatnonzero(sorted_y[where] == hx)
+    # A table of 16 bits of each hash leaves few places to be searched for.
+    table = np.zeros(1 << 16, dtype=bool)
+    table[hy & 0xFFFF] = True
+    at_x = np.flatnonzero(table[hx & 0xFFFF])
+    where = np.minimum(np.searchsorted(sorted_y, hx[at_x]), len(hy) - 1)
+    same = sorted_y[where] == hx[at_x]
+    at_x, where = at_x[same], where[same]
     if not len(at_x):
         return [], []
-    at_y = order[where[at_x]]
+    at_y = order[where]
     cut = np.flatnonzero((np.diff(at_x) != 1) | (np.diff(at_y) != 1)) + 1
     true = np.ones(len(at_x), dtype=bool)
     for first, last in zip([0, *cut.tolist()], [*cut.tolist(), len(at_x)]):
         i, j, n = int(at_x[first]), int(at_y[first]), last - first + span - 1
         if x[i : i + n] != y[j : j + n]:  # a hash in common by chance: each window by itself
             true[first:last] = [x[i + k : i + k + span] == y[j + k : j + k + span] for k in range(last - first)]
-    at_x = at_x[true]
-    common = np.unique(hx[at_x])
-    return _stretches(at_x, span), _stretches(np.flatnonzero(_among(hy, common)), span)
+    in_y = np.zeros(len(hy), dtype=bool)
+    in_y[where[true]] = True
+    again = sorted_y[1:] == sorted_y[:-1]
+    if again.any():  # a window that comes again in y counts at each place; ``where`` names the first
+        group = np.concatenate([[0], np.cumsum(~again)])
+        in_y = (np.bincount(group[in_y], minlength=group[-1] + 1) > 0)[group]
+    return _stretches(at_x[true], span), _stretches(np.sort(order[in_y]), span)
 
 
 def _stretches(at: np.ndarray, span: int) -> list[tuple[int, int]]:
@@ -383,7 +392,7 @@ def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = keep(
         marked.join(marked.groupBy("digest").agg(F.min("id").alias("doc")), "digest").select("id", "doc"), "classes"
     )
-    firsts = long.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
+    firsts = spread(long.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")), "doc")
     prints = fingerprints(firsts, span, gram)
     # Written by itself, so that the join knows its size: sent to all tasks only if it is small.
     copies = keep(classes.where(F.col("id") != F.col("doc")).select(F.col("id").alias("doc")), "copies")
