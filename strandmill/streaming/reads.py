@@ -48,7 +48,7 @@ def repeated_names(reads: DataFrame, order_col: str, time_col: str, delay: str =
     """First-segment reads whose name came before in the stream: rows ``(name, order_col)``.
 
     The state is one number a name, the first read's order, and is dropped when event
-    time has passed it by ``delay``.
+    time has passed the name's last read by ``delay``.  Reads without a time are left out.
     """
     out = T.StructType([T.StructField("name", T.StringType()), T.StructField(order_col, T.LongType())])
     state_schema = T.StructType([T.StructField("first", T.LongType())])
@@ -58,16 +58,17 @@ def repeated_names(reads: DataFrame, order_col: str, time_col: str, delay: str =
         if state.hasTimedOut:
             state.remove()
             return
-        seen = pd.concat([f[order_col] for f in frames]).sort_values()
+        rows = pd.concat(list(frames))
+        seen, latest = rows[order_col].sort_values(), int(rows[time_col].max().timestamp() * 1000)
         first = state.get[0] if state.exists else None
         repeats = seen if first is not None else seen.iloc[1:]
         if first is None:
             state.update((int(seen.iloc[0]),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + hold)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + hold)
         if len(repeats):
             yield pd.DataFrame({"name": key[0], order_col: repeats.astype("int64")})
 
-    named = reads.where(F.col("segment") == 0).select(
+    named = reads.where((F.col("segment") == 0) & F.col(time_col).isNotNull()).select(
         first_part(F.col("definition"), separator).alias("name"), F.col(order_col).cast("long").alias(order_col), F.col(time_col).cast("timestamp").alias(time_col)
     )
     return named.withWatermark(time_col, delay).groupBy("name").applyInPandasWithState(step, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

@@ -10,7 +10,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from strandmill.plans.runtime import local_session
 
-    session = local_session(4, 4)
+    session = local_session(4, 2)
     session.sparkContext.setLogLevel("ERROR")
+    # Small tables: compiling each plan takes longer than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()

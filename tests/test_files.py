@@ -33,22 +33,36 @@ def test_a_cut_record_is_an_error(spark, tmp_path, data):
     assert len(rows(fastq.read_fastq(spark, str(p), strict=False))) <= 1
 
 
-@pytest.mark.parametrize("split", [17, 97, 1000, 65536])
-def test_splits_lose_nothing(spark, tmp_path, split):
+def mixed(n):
     rng = random.Random(5)
     end = lambda: rng.choice(["\n", "\r\n"])
     data, want = "", []
-    for i in range(60 if split < 50 else 700):
+    for i in range(n):
         s = "ACGT" * rng.randrange(0, 20)
         q = "@" * len(s)
         data += f"@r{i}{end()}{s}{end()}+{end()}{q}{end()}"
         want.append((i, 0, f"@r{i}", s, "+", q))
+    return data.encode(), want
+
+
+@pytest.mark.parametrize("size", [1, 17, 97, 1000, 1 << 20])
+def test_splits_lose_nothing(tmp_path, size):
+    data, want = mixed(200)
     p = tmp_path / "x.fq"
-    p.write_bytes(data.encode())
-    assert rows(fastq.read_fastq(spark, str(p), split_bytes=split)) == want
-    p.write_bytes(data.encode()[:-1])
+    p.write_bytes(data)
+    ranges = fastq.ranges_of(str(p), size)
+    splits = fastq.plan_splits(str(p), ranges, [fastq.count_feeds(str(p), *r) for r in ranges])
+    assert [(n, 0, *(x.decode() for x in lines)) for s in splits for n, lines in fastq.read_split(s)] == want
+
+
+def test_splits_on_spark(spark, tmp_path):
+    data, want = mixed(700)
+    p = tmp_path / "x.fq"
+    p.write_bytes(data)
+    assert rows(fastq.read_fastq(spark, str(p), split_bytes=20_000)) == want
+    p.write_bytes(data[:-1])
     with pytest.raises(Exception, match="unexpected end of file"):
-        rows(fastq.read_fastq(spark, str(p), split_bytes=split))
+        rows(fastq.read_fastq(spark, str(p), split_bytes=20_000))
 
 
 def test_gzip_by_exact_extension(spark, tmp_path):
@@ -64,7 +78,7 @@ def test_writes_one_file_in_order(spark, tmp_path):
     p = tmp_path / "x.fq"
     data = b"".join(b"@r%d/1 x\r\nAC\xe9\n+\nFF\n" % i for i in range(500))
     p.write_bytes(data)
-    df = fastq.read_fastq(spark, str(p), split_bytes=999).repartition(5)
+    df = fastq.read_fastq(spark, str(p), split_bytes=3000).repartition(5)
     fastq.write_fastq(df, str(tmp_path / "y.fq"))
     assert (tmp_path / "y.fq").read_bytes() == data.replace(b"\r", b"")
     fastq.write_fastq(df, str(tmp_path / "y.fq.gz"))
