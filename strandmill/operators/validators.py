@@ -19,73 +19,75 @@ NAME, SEQUENCE, PLUS_LINE, QUALITY = range(4)
 ALPHABET = "ACGTNacgtn"
 
 
+Field = Callable[[str], Column]
+Failed = Callable[[int, Column | int, Column | str], Column]
+
+
 @dataclass(frozen=True)
 class ValidatorSpec:
-    """A rule: ``check`` takes a function from field names to Columns and gives a failure struct or null."""
+    """A rule: ``check(field, failed)`` gives ``failed(line, col_no, message)`` where a record fails, else null.
+
+    ``field`` turns a field's name into its Column.
+    """
 
     code: str
     name: str
     level: str
-    check: Callable[[Callable[[str], Column]], Column]
+    check: Callable[[Field, Failed], Column]
 
-    def failure(self, rank: int, field: Callable[[str], Column] = F.col) -> Column:
-        """The failure with the rule's identity, or null."""
-        found = self.check(field)
-        return F.when(
-            found.isNotNull(),
-            F.struct(
-                found["line"].alias("line"), found["col_no"].alias("col_no"), F.lit(self.code).alias("validator_code"),
-                F.lit(self.name).alias("validator_name"), found["message"].alias("message"), F.lit(rank).alias("validator_rank"),
-            ),
-        )
+    def failure(self, rank: int, field: Field = F.col) -> Column:
+        """The failure as a struct with the rule's identity, or null."""
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
 
+        def failed(line: int, col_no: Column | int, message: Column | str) -> Column:
+            return F.struct(
+                F.lit(line).alias("line"), as_column(col_no).cast("long").alias("col_no"), F.lit(self.code).alias("validator_code"),
+                F.lit(self.name).alias("validator_name"), as_column(message).alias("message"), F.lit(rank).alias("validator_rank"),
+            )
 
-def failed(line: int, col_no: Column | int, message: Column | str) -> Column:
-    """The struct a check gives for a failing record."""
-    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(F.lit(line).alias("line"), as_column(col_no).cast("long").alias("col_no"), as_column(message).alias("message"))
+        return self.check(field, failed)
 
 
-def plus_line(field: Callable[[str], Column]) -> Column:
+def plus_line(field: Field, failed: Failed) -> Column:
     return F.when(~field("plus_line").startswith("+"), failed(PLUS_LINE, 1, "missing + prefix"))
 
 
-def alphabet(allowed: str = ALPHABET) -> Callable[[Callable[[str], Column]], Column]:
+def alphabet(allowed: str = ALPHABET) -> Callable[[Field, Failed], Column]:
     """A check that sequences hold only these bytes."""
     if not allowed:
         raise ValueError("an alphabet needs a character")
     outside = "[^" + "".join(re.escape(c) if not c.isalnum() else c for c in allowed) + "]"
 
-    def check(field: Callable[[str], Column]) -> Column:
+    def check(field: Field, failed: Failed) -> Column:
         at = F.regexp_instr(field("sequence"), F.lit(outside))
         return F.when(at > 0, failed(SEQUENCE, at, _bad_character("invalid sequence character", field("sequence"), at)))
 
     return check
 
 
-def name(field: Callable[[str], Column]) -> Column:
+def name(field: Field, failed: Failed) -> Column:
     return F.when(~field("name").startswith("@"), failed(NAME, 1, "missing @ prefix"))
 
 
-def complete(field: Callable[[str], Column]) -> Column:
+def complete(field: Field, failed: Failed) -> Column:
     return F.coalesce(*[
         F.when(field(column) == "", failed(line, 1, f"empty {shown}"))
         for line, column, shown in ((NAME, "name", "name"), (SEQUENCE, "sequence", "sequence"), (PLUS_LINE, "plus_line", "plus line"), (QUALITY, "quality", "quality"))
     ])
 
 
-def consistent_lengths(field: Callable[[str], Column]) -> Column:
+def consistent_lengths(field: Field, failed: Failed) -> Column:
     bases, scores = byte_length(field("sequence")), byte_length(field("quality"))
     message = F.format_string("sequence-quality scores lengths mismatch: expected %d, got %d", bases, scores)
     return F.when(bases != scores, failed(SEQUENCE, 1, message))
 
 
-def quality_string(field: Callable[[str], Column]) -> Column:
+def quality_string(field: Field, failed: Failed) -> Column:
     at = F.regexp_instr(field("quality"), F.lit("[^!-~]"))
     return F.when(at > 0, failed(QUALITY, at, _bad_character("invalid quality score character", field("quality"), at)))
 
 
-def same_names(field: Callable[[str], Column]) -> Column:
+def same_names(field: Field, failed: Failed) -> Column:
     """Of a pair: the labels follow the order in which the names were always shown."""
     message = F.concat(F.lit("names mismatch: expected '"), display(field("name_2")), F.lit("', got '"), display(field("name_1")), F.lit("'"))
     return F.when(field("name_1") != field("name_2"), failed(NAME, 1, message))
