@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Disjoint hash ranges; counts of ranges add up because a value lies in one range.
@@ -58,18 +58,21 @@ def count_combinations(pairs: DataFrame, sets: list[list[str]]) -> DataFrame:
     every = list(dict.fromkeys(k for s in sets for k in s))
     types = dict(pairs.dtypes)
     views = F.array(*[
-        F.struct(
-            F.lit(",".join(s)).alias("grouping"),
-            *[(F.col(k) if k in s else F.lit(None).cast(types[k])).alias(k) for k in every],
-        )
-        for s in sets
+        F.struct(F.lit(i).alias("set_no"), *[(F.col(k) if k in s else F.lit(None).cast(types[k])).alias(k) for k in every])
+        for i, s in enumerate(sets)
     ])
-    return (
+    # Within a bucket a value's rank stands for it, so that the copies for each combination are narrow.
+    ranks = Window.partitionBy("bucket", "field").orderBy("value")
+    counted = (
         pairs.repartition("bucket")
-        .select("field", "bucket", "value", "n", F.explode(views).alias("_g"))
-        .groupBy("field", "bucket", "value", "_g")
+        .withColumn("value_no", F.dense_rank().over(ranks))
+        .select("field", "bucket", "value_no", "n", F.explode(views).alias("_g"))
+        .groupBy("field", "bucket", "value_no", "_g")
         .agg(F.sum("n").alias("n"))
         .groupBy("field", "_g")
         .agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"))
-        .select("_g.grouping", *[F.col(f"_g.{k}").alias(k) for k in every], "field", "n_values", "n_distinct")
+    )
+    labels = F.array(*[F.lit(",".join(s)) for s in sets])
+    return counted.select(
+        F.element_at(labels, F.col("_g.set_no") + 1).alias("grouping"), *[F.col(f"_g.{k}").alias(k) for k in every], "field", "n_values", "n_distinct"
     )

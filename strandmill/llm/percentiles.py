@@ -118,7 +118,8 @@ def percentiles_of_counts(counts: DataFrame, percentages: list[float]) -> DataFr
         at = F.lit(float(p)) * (F.col("n_values") - 1)
         part = at - F.floor(at)
         low, high = F.col(f"low{i}"), F.col(f"high{i}")
-        between = low * (F.lit(1.0) - part) + high * part
+        gap = high - low
+        between = F.when(F.abs(gap) < F.lit(float("inf")), low + gap * part).otherwise(low * (F.lit(1.0) - part) + high * part)
         out.append(F.when((part == 0) | (low == high), low).otherwise(between).alias(percent_name(p)))
     return totals.join(found, "g").select("g", "n_values", *out)
 

@@ -116,10 +116,18 @@ def _combination(keys: list[str]) -> str:
 
 
 def _quantiles(key: str) -> str:
-    names = ", ".join(f"quantile_cont(error_probability_sum, {p}) AS {percentiles.percent_name(p)}" for p in PERCENTAGES)
+    """Interpolation written out: the same arithmetic on both sides, to the last bit."""
+    at = "CAST({p} AS DOUBLE) * (n - 1)"
+    low, high = "v[CAST(floor({at}) AS BIGINT) + 1]", "v[CAST(ceil({at}) AS BIGINT) + 1]"
+    columns = []
+    for p in PERCENTAGES:
+        place = at.format(p=p)
+        x, y = low.format(at=place), high.format(at=place)
+        columns.append(f"{x} + ({y} - {x}) * ({place} - floor({place})) AS {percentiles.percent_name(p)}")
     return f"""
-        SELECT {key}, count(*) AS n_values, {names} FROM position_sums
-        WHERE error_probability_sum IS NOT NULL AND NOT isnan(error_probability_sum) GROUP BY {key}
+        SELECT {key}, n AS n_values, {", ".join(columns)}
+        FROM (SELECT {key}, count(*) AS n, list(error_probability_sum ORDER BY error_probability_sum) AS v FROM position_sums
+            WHERE error_probability_sum IS NOT NULL AND NOT isnan(error_probability_sum) GROUP BY {key})
     """
 
 
