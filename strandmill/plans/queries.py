@@ -149,7 +149,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.split_loaded(parsing.parse_lines(table(spark, d, "lint_lines"), keep=["line_id", "file_id", "logged_at"]))[0]
+    return parsing.split_loaded(parsing.parse_lines(table(spark, d, "lint_lines"), keep=["line_id", "file_id", "logged_at"]))[0].withColumn(
+        "logged_at", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -248,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE received_at IS NOT NULL GROUP BY ALL""",
         "names_loaded": "SELECT count(DISTINCT name) AS names FROM name_list",
         "p6_found": _P6 + "SELECT line_id, reason FROM judged WHERE reason <> ''",
-        "p6_loaded": _P6 + """SELECT line_id, file_id, logged_at, f[1] AS source, CAST(f[2] AS BIGINT) AS record_no, CAST(f[3] AS BIGINT) AS definition_end,
+        "p6_loaded": _P6 + """SELECT line_id, file_id, strftime(logged_at, '%Y-%m-%d %H:%M:%S.%f') AS logged_at, f[1] AS source, CAST(f[2] AS BIGINT) AS record_no, CAST(f[3] AS BIGINT) AS definition_end,
             CAST(f[4] AS BIGINT) AS sequence_end, CAST(f[5] AS BIGINT) AS plus_line_end, nullif(f[6], '') AS code, nullif(f[7], '') AS line_type,
             CAST(nullif(f[8], '') AS BIGINT) AS col_no, f[9] AS message FROM judged WHERE reason = ''""",
     }
