@@ -24,13 +24,13 @@ def one(spark, value, column):
 
 @pytest.mark.parametrize(
     "definition, separator, name",
-    [("@fqlib:1/1", None, "@fqlib:1"), ("@fqlib:1 1", None, "@fqlib:1"), ("@fqlib:1/1 2", None, "@fqlib:1"), ("@fqlib:1 1/2", None, "@fqlib:1"), ("@fqlib_1", "_", "@fqlib"), ("@fqlib", None, "@fqlib"), ("/1", None, ""), ("", None, ""), ("@a/b", "_", "@a/b")],
+    [("@lane:1/1", None, "@lane:1"), ("@lane:1 1", None, "@lane:1"), ("@lane:1/1 2", None, "@lane:1"), ("@lane:1 1/2", None, "@lane:1"), ("@lane_1", "_", "@lane"), ("@lane", None, "@lane"), ("/1", None, ""), ("", None, ""), ("@a/b", "_", "@a/b")],
 )
 def test_lint_name_ends_at_the_first_separator(spark, definition, separator, name):
     assert one(spark, definition, lambda c: N.first_part(c, separator)) == name
 
 
-@pytest.mark.parametrize("definition, name", [("@fqlib:1/1", "fqlib:1"), ("@fqlib:1 1", "fqlib:1"), ("@fqlib:1", "fqlib:1"), ("@a/b/c", "a/b"), ("@a b/c", "a b"), ("xyz", "yz")])
+@pytest.mark.parametrize("definition, name", [("@lane:1/1", "lane:1"), ("@lane:1 1", "lane:1"), ("@lane:1", "lane:1"), ("@a/b/c", "a/b"), ("@a b/c", "a b"), ("xyz", "yz")])
 def test_allowlist_name_ends_at_the_last_separator(spark, definition, name):
     assert one(spark, definition, N.check_allowlist_name) == name
 
