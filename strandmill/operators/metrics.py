@@ -64,14 +64,15 @@ def running_longest(reads: DataFrame) -> DataFrame:
     )
 
 
-def mean_quality(reads: DataFrame, strict: bool | None = None) -> DataFrame:
+def mean_quality(reads: DataFrame, strict: bool | None = None, skip_invalid: bool = False) -> DataFrame:
     """Rows ``(position, mean_quality)``: error probabilities averaged per position, then as a score.
 
     Positions run to the longest sequence; one that no quality reaches is NaN.  A
     quality counts as far as the longest sequence so far.  Only a quality longer than
     its own sequence is affected, so the ordered pass is made only if there is one
     (``strict`` True or False decides without looking).  A byte below the lowest score
-    is an error.  No records give no rows.
+    is an error; with ``skip_invalid`` the scores of its record are left out instead,
+    while its sequence still counts.  No records give no rows.
     """
     longer = F.length("quality") > F.length("sequence")
     if strict is None:
@@ -80,6 +81,8 @@ def mean_quality(reads: DataFrame, strict: bool | None = None) -> DataFrame:
         source = running_longest(reads.select("record_no", "sequence", "quality"))
     else:
         source = reads.withColumn("longest", F.length("sequence").cast("long"))
+    if skip_invalid:
+        source = source.where(~F.substr("quality", F.lit(1), F.col("longest").cast("int")).rlike("[\\x00-\\x20]"))
     sums = (
         source.select("quality", "longest").mapInArrow(_position_sums, _SUMS)
         .groupBy("pos").agg(F.sum("error_sum").alias("error_sum"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -92,10 +95,10 @@ def mean_quality(reads: DataFrame, strict: bool | None = None) -> DataFrame:
     )
 
 
-def describe(reads: DataFrame) -> DataFrame:
-    """One row: the lengths and the array ``avg_quality_score_per_position``."""
+def describe(reads: DataFrame, skip_invalid: bool = False) -> DataFrame:
+    """One row: the lengths and the array ``avg_quality_score_per_position`` (see mean_quality())."""
     scores = F.transform(F.array_sort(F.collect_list(F.struct("position", "mean_quality"))), lambda x: x["mean_quality"])
-    quality = mean_quality(reads).agg(scores.alias("avg_quality_score_per_position"))
+    quality = mean_quality(reads, skip_invalid=skip_invalid).agg(scores.alias("avg_quality_score_per_position"))
     found = describe_lengths(reads)
     names = [*found.columns, *quality.columns]
     both = found.unionByName(quality, allowMissingColumns=True)  # two rows, each with the other's columns null

@@ -111,10 +111,17 @@ def describe_files(spark: SparkSession, d: str) -> DataFrame:
     return metrics.describe_lengths(_reads(spark, d), ["file_id", "segment"])
 
 
+def _every(reads: DataFrame) -> DataFrame:
+    return reads.select(F.col("read_id").alias("record_no"), F.lit(0).alias("segment"), "sequence", "quality")
+
+
 def _graphic(spark: SparkSession, d: str) -> DataFrame:
-    """Reads as one file, less those whose scores can't be decoded."""
-    rows = _reads(spark, d).where(~F.col("quality").rlike("[\\x00-\\x20\\x7F-\\xFF]"))
-    return rows.select(F.col("read_id").alias("record_no"), F.lit(0).alias("segment"), "sequence", "quality")
+    """Reads as one file, less those with a quality byte that isn't graphic ASCII, as the SQL has it: fewer than the reference decodes."""
+    return _every(_reads(spark, d).where(~F.col("quality").rlike("[\\x00-\\x20\\x7F-\\xFF]")))
+
+
+def _rounded(described: DataFrame) -> DataFrame:
+    return described.withColumn("avg_quality_score_per_position", F.concat_ws(",", F.transform("avg_quality_score_per_position", lambda x: F.format_string("%.6f", x))))
 
 
 def describe_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -122,13 +129,27 @@ def describe_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def describe(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.describe(_graphic(spark, d)).withColumn("avg_quality_score_per_position", F.concat_ws(",", F.transform("avg_quality_score_per_position", lambda x: F.format_string("%.6f", x))))
+    return _rounded(metrics.describe(_graphic(spark, d)))
 
 
 def running_longest(spark: SparkSession, d: str) -> DataFrame:
     return metrics.running_longest(_graphic(spark, d)).select("record_no", "longest")
 
 
+def describe_quality_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over all rows; only scores that the reference refuses are left out."""
+    return metrics.mean_quality(_every(_reads(spark, d)), skip_invalid=True).withColumn("mean_quality", F.round("mean_quality", 6))
+
+
+def describe_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over all rows; only scores that the reference refuses are left out."""
+    return _rounded(metrics.describe(_every(_reads(spark, d)), skip_invalid=True))
+
+
+def running_longest_all(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.running_longest(_every(_reads(spark, d))).select("record_no", "longest")
+
+
 def names_loaded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "name_list").agg(F.countDistinct("name").alias("names"))
 
@@ -158,7 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
         reads, name_rules, lint_reads, lint_p001, lint_s007, lint_level_low, lint_counts, pair_parity, filter_pattern, filter_names,
         filter_missing_segments, sample_fraction, sample_exact, describe_lengths, describe_files, describe_quality, describe,
-        running_longest, names_loaded, stream_lint, stream_daily, p6_found, p6_loaded,
+        running_longest, describe_quality_all, describe_all, running_longest_all, names_loaded, stream_lint, stream_daily, p6_found, p6_loaded,
     )}
     return out | {f"lint_{s.code.lower()}": _lint(s.code) for s in validators.SINGLE}
 

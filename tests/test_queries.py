@@ -35,3 +35,29 @@ def test_core_queries_match_sql(spark):
         found = base.execute(sql)
         at = [[d[0] for d in found.description].index(c) for c in columns]
         assert got == sorted(tuple(shown(r[i]) for i in at) for r in found.fetchall()), name
+
+
+def test_descriptions_take_every_row_the_reference_decodes(spark, tmp_path):
+    import math
+
+    from strandmill.plans import queries as Q
+
+    rows = [("AC", "5555"), ("ACGT", "5\xe9"), ("ACGTAC", "+ 55"), (None, None), ("A", "5555555 "), ("ACG", "\x7f+\U0001f600"), ("ACGTACGTAC", "!\x1f")]
+    spark.createDataFrame([(i, 1, i, 0, "@r", x, "+", q) for i, (x, q) in enumerate(rows)],
+                          "read_id long, file_id long, record_no long, segment int, definition string, sequence string, plus_line string, quality string").write.parquet(f"{tmp_path}/fastq_reads.parquet")
+    longest, so_far, sums = 0, [], {}
+    for i, (x, q) in enumerate(rows):
+        longest = max(longest, len(x or ""))
+        so_far.append((i, longest))
+        scores = (q or "").encode()[:longest]
+        if all(b >= 33 for b in scores):
+            for p, b in enumerate(scores):
+                sums.setdefault(p, []).append(10 ** (-(b - 33) / 10))
+    mean = [round(-10 * math.log10(sum(sums[p]) / len(sums[p])), 6) if p in sums else math.nan for p in range(longest)]
+    run = lambda name: Q.queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, run("running_longest_all").collect())) == so_far
+    found = [r.mean_quality for r in run("describe_quality_all").orderBy("position").collect()]
+    assert found == pytest.approx(mean, nan_ok=True)
+    row, lengths = run("describe_all").first(), run("describe_lengths").first()
+    assert row[:3] == lengths[:3] == (7, 0, 10)
+    assert [float(x) for x in row.avg_quality_score_per_position.split(",")] == pytest.approx(mean, nan_ok=True)
