@@ -72,6 +72,10 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.subsample_files(table(spark, d, "fastq_reads"), table(spark, d, "subsample_args"))
 
 
+def p5_refused(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.refused_jobs(table(spark, d, "subsample_args"), table(spark, d, "fastq_reads"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(table(spark, d, "documents"))
 
@@ -95,7 +99,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_error_rate, p2_found, p2_counts, p3_found, p3_distinct, p4_found, p4_by_instrument, p4_by_position,
-        p5_sample, p7_ids, p8_mix, p8_shares, p9_found, p9_shared,
+        p5_sample, p5_refused, p7_ids, p8_mix, p8_shares, p9_found, p9_shared,
     )}
 
 

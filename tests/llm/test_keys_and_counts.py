@@ -184,6 +184,16 @@ def test_samples_of_files(spark):
     assert sampling.subsample_files(reads.limit(0), args).count() == 0 and sampling.subsample_files(reads, args.limit(0)).count() == 0
 
 
+def test_no_job_disappears(spark):
+    reads = spark.createDataFrame([(1, 1, 0, 0), (2, 1, 1, 0), (3, 2, None, 0)], "read_id long, file_id long, record_no long, segment int")
+    jobs = [(1, 1, 1, None, 5), (2, 1, 1, 0.5, 5), (3, None, 1, 0.5, 5), (4, 1, None, 0.5, 5), (5, 1, 0, None, 5), (6, 1, -1, 0.5, 5), (7, 9, 1, None, 5), (8, 2, 1, None, 5), (9, 1, None, None, 5), (10, 1, 7, float("nan"), 5)]
+    args = spark.createDataFrame(jobs, "job_id long, file_id long, record_count long, probability double, seed long")
+    refused = {r.job_id: r.reason for r in sampling.refused_jobs(args, reads).collect()}
+    assert refused == {2: "both", 3: "file", 4: "count", 5: "count", 6: "count", 7: "records", 8: "records", 9: "count", 10: "both"}
+    assert {r.job_id for r in sampling.subsample_files(reads, args).collect()} | set(refused) == {j[0] for j in jobs}
+    assert sampling.refused_jobs(args.limit(0), reads).count() == 0
+
+
 def test_layout_with_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(sampling, "BUCKET_RECORDS", 16)
     units = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("u")).unionByName(spark.range(1).select(F.lit(7).cast("long").alias("g"), "id").toDF("g", "u"))
