@@ -93,6 +93,27 @@ def _stock(sized: DataFrame) -> dict[str, tuple[int, int]]:
     return {r.source: (r.docs, r.tokens) for r in sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
 
 
+def mix_whole(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str | None = None) -> DataFrame:
+    """mix_sources() at a total of all tokens of the targets' sources; what sources short of their share lack is spread over the others."""
+    sized, total = _whole(documents, targets, vocabulary)
+    return mix_sources(documents, targets, total, seed, vocabulary, sized)
+
+
+def report_whole(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str | None = None) -> DataFrame:
+    """mix_report() of mix_whole(), with ``wanted_tokens`` (the share of the total) and ``short``: whether max_repeats of all documents are fewer."""
+    sized, total = _whole(documents, targets, vocabulary)
+    report = mix_report(documents, targets, total, seed, vocabulary, sized)
+    wanted = F.coalesce("target_share", F.lit(0.0)) * F.lit(total)
+    most = F.col("available_tokens") * F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))
+    return report.withColumns({"wanted_tokens": wanted, "short": most < wanted})
+
+
+def _whole(documents: DataFrame, targets: DataFrame, vocabulary: str | None) -> tuple[DataFrame, float]:
+    """The sized documents of the targets' sources, and all their tokens."""
+    sized = _sized(documents, list(_targets(targets)), vocabulary)
+    return sized, float(sum(tokens for _, tokens in _stock(sized).values()))
+
+
 def _lookup(spark, rows: list[tuple], fields: list[T.StructField]) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType(fields))
 
@@ -167,10 +188,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0,
-               vocabulary: str | None = None) -> DataFrame:
+               vocabulary: str | None = None, sized: DataFrame | None = None) -> DataFrame:
     """One row per target: its share, the share reached, tokens, documents and uses of the mix, and what there is."""
     wanted = _targets(targets)
-    sized = _sized(documents, list(wanted), vocabulary)
+    sized = _sized(documents, list(wanted), vocabulary) if sized is None else sized
     mix = mix_sources(documents, targets, total_tokens, seed, vocabulary, sized)
     used = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("tokens"))
     used = used.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))

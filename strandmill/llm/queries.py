@@ -88,6 +88,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_mix_whole(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_whole(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares_whole(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report_whole(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.pairs_of_records(*spans.shared_pairs(table(spark, d, "documents")))
 
@@ -99,7 +107,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_error_rate, p2_found, p2_counts, p3_found, p3_distinct, p4_found, p4_by_instrument, p4_by_position,
-        p5_sample, p5_refused, p7_ids, p8_mix, p8_shares, p9_found, p9_shared,
+        p5_sample, p5_refused, p7_ids, p8_mix, p8_shares, p8_mix_whole, p8_shares_whole, p9_found, p9_shared,
     )}
 
 

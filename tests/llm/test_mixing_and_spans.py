@@ -62,6 +62,23 @@ def test_mix(spark, monkeypatch):
     assert sum(r.reached_share for r in report.values()) == pytest.approx(1) and report["small"].most_uses == 3
 
 
+def test_mix_of_all_tokens_repeats_and_reports_the_short(spark):
+    rows = [(i, "word " * 40, "big") for i in range(60)] + [(100, "word " * 20, "small"), (101, "word " * 20, "small")] + [(200 + i, "word " * 30, "mid") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.3, 3), ("mid", 0.1, 2), ("absent", 0.1, 4)], TARGETS)
+    report = {r.source: r for r in mixing.report_whole(docs, targets).collect()}
+    have = {s: r.available_tokens for s, r in report.items()}
+    total = sum(have.values())
+    assert {s for s, r in report.items() if r.short} == {"small", "absent"}
+    assert report["small"].tokens == 3 * have["small"] and report["small"].most_uses == 3 and report["absent"].tokens == 0
+    left = total - 3 * have["small"]
+    assert abs(report["big"].tokens - left * 5 / 6) <= have["big"] / 60 and abs(report["mid"].tokens - left / 6) <= have["mid"] / 20
+    assert report["small"].wanted_tokens == pytest.approx(0.3 * total)
+    uses = Counter((r.source, r.doc_id) for r in mixing.mix_whole(docs, targets).collect())
+    assert all(uses["small", i] == 3 for i in (100, 101))
+    assert mixing.mix_whole(docs.limit(0), targets).count() == 0
+
+
 def test_mix_of_a_given_size(spark):
     docs = documents(spark)
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], TARGETS)
