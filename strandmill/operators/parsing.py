@@ -78,9 +78,7 @@ def _bare_quote(record: str) -> bool:
 
 def split_fields(record: str) -> list[str]:
     """The fields by Python's strict csv reader; raises Rejected('quoting')."""
-    if '"' not in record:
-        return record.split(",")
-    if _bare_quote(record):
+    if '"' in record and _bare_quote(record):
         raise Rejected("quoting")
     # Line ends outside quotes are data here, but not to the reader: they stand as characters the record lacks.
     swapped = [(end, _absent(record, i)) for i, end in enumerate("\r\n") if end in record]
@@ -90,7 +88,7 @@ def split_fields(record: str) -> list[str]:
         rows = list(csv.reader([record], strict=True))
     except csv.Error as wrong:
         raise Rejected("quoting") from wrong
-    fields = rows[0] if rows else [""]
+    fields = rows[0] if rows and rows[0] else [""]
     for end, other in swapped:
         fields = [f.replace(other, end) for f in fields]
     return fields

@@ -94,3 +94,26 @@ def test_tables(spark):
 def test_assembly():
     lines = 'a,"b\nc",d\n\nx,"y""\nz"\n"open'.split("\n")
     assert list(P.assemble(iter(lines))) == ['a,"b\nc",d', "", 'x,"y""\nz"', '"open']
+
+
+def test_every_record_meets_the_strict_reader(monkeypatch):
+    read = []
+    strict = csv.reader
+    monkeypatch.setattr(P.csv, "reader", lambda rows, **how: read.append(how) or strict(rows, **how))
+    for text in (GOOD, GOOD + "\r", "", "a,,b", "a\rb\nc,d", GOOD.replace("text", '"a"')):
+        assert P.split_fields(text) == [f.strip('"') for f in text.split(",")]
+    assert read == [{"strict": True}] * 6
+
+
+def test_logs_are_read_by_record(spark, tmp_path):
+    from strandmill.sources.text import read_log
+
+    texts = [GOOD, GOOD.replace("text", '"a\nb ""c"""') + "\r", "", GOOD.replace("text", '"é\n\n,"'), GOOD + ",x", GOOD.replace("text", '"open\nto the end')]
+    (tmp_path / "1.log").write_bytes("\n".join(texts).encode())
+    (tmp_path / "2.log").write_bytes((GOOD + "\n").encode())
+    (tmp_path / "3.log").write_bytes(b"")
+    logs = read_log(spark, [str(tmp_path / f"{i}.log") for i in (1, 2, 3)])
+    assert sorted((r.path[-5:], r.line_no, r.line_text) for r in logs.collect()) == [*[("1.log", i, t) for i, t in enumerate(texts)], ("2.log", 0, GOOD)]
+    good, bad = P.split_loaded(P.parse_lines(logs, keep=["path", "line_no"]))
+    assert sorted((r.line_no, r.message) for r in good.where("path like '%1.log'").collect()) == [(0, "text"), (1, 'a\nb "c"'), (3, "é\n\n,")]
+    assert sorted((r.line_no, r.reason) for r in bad.collect()) == [(2, "columns"), (4, "columns"), (5, "quoting")]
