@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.names import first_part
 from ..operators import lint, validators
-from ..plans.runtime import shared_dir, ship
+from ..plans.runtime import new_folder, ship, tend
 from ..sources import files
 
 
@@ -78,14 +77,15 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and gives its rows as a table in the shared folder.
 
     In append mode the sink is exactly-once parquet.  In complete mode each batch
-    replaces the table.
+    replaces the table.  The table and the stream's state go with the last plan that
+    reads them (see runtime.tend()).
     """
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/strandmill-stream-{uuid.uuid4().hex}"
+    place = new_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{place}/rows").start()
     else:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{place}/rows")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    return tend(spark.read.schema(stream.schema).parquet(f"{place}/rows"), place)
