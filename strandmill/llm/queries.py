@@ -29,6 +29,19 @@ def p1_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(table(spark, d, "fastq_reads").where("segment = 0"), "name", "read_id")
 
 
+def p1_rate_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What of the report doesn't depend on how the input lies in pieces, and whether fingerprints gave answers at all."""
+    report = p1_error_rate(spark, d)
+    answers = F.col("exact_in_piece") + F.col("exact_in_batch") + F.col("by_fingerprint") - F.col("wrong_answers")
+    return report.select("lookups", answers.alias("repeats"), "wrong_answers", "measured_rate", (F.col("by_fingerprint") > 0).alias("by_fingerprint"))
+
+
+def p1_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Day after day against the stored index of the days before; of 48 ranges, the index's own number."""
+    found = seen.seen_by_piece(table(spark, d, "fastq_reads").where("segment = 0"), "name", "read_id", "run_day", ranges=48)
+    return found.select(_day(), "read_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent.frequent_values(table(spark, d, "fastq_reads"), "sequence", 0.01).select("sequence")
 
@@ -106,7 +119,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_error_rate, p2_found, p2_counts, p3_found, p3_distinct, p4_found, p4_by_instrument, p4_by_position,
+        p1_found, p1_error_rate, p1_rate_checked, p1_by_day, p2_found, p2_counts, p3_found, p3_distinct, p4_found, p4_by_instrument, p4_by_position,
         p5_sample, p5_refused, p7_ids, p8_mix, p8_shares, p8_mix_whole, p8_shares_whole, p9_found, p9_shared,
     )}
 
@@ -156,6 +169,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT read_id FROM (SELECT read_id, min(read_id) OVER (PARTITION BY name) AS first FROM fastq_reads
             WHERE segment = 0 AND name <> '') WHERE read_id > first
         """,
+        "p1_rate_checked": """
+            SELECT count(*) AS lookups, count(*) - count(DISTINCT name) AS repeats, CAST(0 AS BIGINT) AS wrong_answers, CAST(0 AS DOUBLE) AS measured_rate,
+            count(*) > 8192 AS by_fingerprint FROM fastq_reads WHERE segment = 0 AND name <> ''
+        """,
+        "p1_by_day": """
+            SELECT strftime(run_day, '%Y-%m-%d') AS run_day, read_id FROM (SELECT run_day, read_id,
+            row_number() OVER (PARTITION BY name ORDER BY run_day NULLS FIRST, read_id) AS n FROM fastq_reads WHERE segment = 0 AND name <> '') WHERE n > 1
+        """,
         "p2_found": _frequent("0.01", "sequence"),
         "p2_counts": _frequent("0.001", "sequence, n"),
         "p3_found": f"""

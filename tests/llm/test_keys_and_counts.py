@@ -1,13 +1,15 @@
 """Repeated keys, frequent values, distinct counts, percentiles and samples against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from strandmill.llm import distinct, frequent, percentiles, sampling, seen
+from strandmill.llm import distinct, frequent, percentiles, prefilter, sampling, seen
 from strandmill.llm.perfect_hash import SealedPartition, mix
+from strandmill.plans import runtime
 
 
 def test_perfect_hash_is_minimal():
@@ -49,24 +51,31 @@ def repeats(rows):
 
 
 @pytest.mark.parametrize("seal", [1, 64, 100_000])
-def test_seen_before(spark, seal, monkeypatch):
+def test_seen_before(spark, seal):
     rows = names(800 if seal == 1 else 4000)
-    monkeypatch.setattr(seen, "LOCAL_ROWS", 100)
-    df = spark.createDataFrame(rows, "read_id long, name string").withColumn("how", F.lit(1)).repartition(5)
+    df = spark.createDataFrame(rows, "read_id long, name string").withColumn("how", F.lit(1)).withColumn("_key", F.lit("x")).repartition(5)
     assert sorted(r.read_id for r in seen.seen_before(df, "name", "read_id", seal_keys=seal).collect()) == repeats(rows)
     if seal == 64:
-        kinds = {r.how: r["count"] for r in seen.seen_candidates(df, "name", "read_id", seal_keys=64).groupBy("how").count().collect()}
+        kinds = {r.how: r["count"] for r in seen.seen_candidates(df, "name", "read_id", 7, seal_keys=64).groupBy("how").count().collect()}
         assert kinds[seen.SEALED] > 100
         report = seen.error_report(df, "name", "read_id", seal_keys=64).first()
         assert report.lookups == sum(bool(k) for _, k in rows) and report.wrong_answers == 0
         assert report.exact_in_piece + report.exact_in_batch + report.by_fingerprint == len(repeats(rows))
 
 
+def test_ranges_bound_what_a_key_is_compared_with(spark):
+    assert seen.ranges_for(0) == 1 and seen.ranges_for(10**9) == math.ceil(10**9 / (4096 * 8))
+    df = spark.createDataFrame([(i, f"k{i}") for i in range(4000)], "o long, k string")
+    placed = seen.seen_candidates(df, "k", "o", seen.ranges_for(4000, 16), seal_keys=16, emit_sealed=True)
+    per_range = [r["count"] for r in seen.sealed_rows(placed).groupBy("range_no").count().collect()]
+    assert len(per_range) == seen.ranges_for(4000, 16) and max(per_range) <= 16
+
+
 def test_wrong_fingerprints_are_caught(spark):
     rows = [(1, "a"), (2, "b"), (3, "a")]
     df = spark.createDataFrame(rows, "o long, k string")
-    claimed = spark.createDataFrame([(2, "b", seen.SEALED), (3, "a", seen.SEALED)], "ord long, key string, how int")
-    assert {r.ord: r.wrong for r in seen.exact_repeats(claimed, df, "k", "o").collect()} == {2: True, 3: False}
+    claimed = spark.createDataFrame([(2, "b"), (3, "a")], "o long, _key string")
+    assert {r.o: r.wrong for r in seen.exact_repeats(claimed, df, "k", ["o"]).collect()} == {2: True, 3: False}
 
 
 def test_seen_before_of_nothing(spark):
@@ -76,17 +85,47 @@ def test_seen_before_of_nothing(spark):
     assert [r.o for r in seen.seen_before(same, "k", "o").collect()] == [5]
 
 
-def test_index_grows_over_runs(spark):
+def test_index_is_stored_and_read_again(spark, tmp_path):
     rows = names(3000, 8)
     df = spark.createDataFrame(rows, "o long, k string")
-    index, found = seen.empty_index(spark, 4), []
+    seen.new_index(spark, 4).write.parquet(str(tmp_path / "0"))
+    found = []
     for low in range(0, 3000, 1000):
+        index = spark.read.parquet(*[str(p) for p in tmp_path.iterdir()])
+        assert seen.index_ranges(index) == 4
         part = df.where((F.col("o") >= low) & (F.col("o") < low + 1000))
-        out = seen.seen_candidates(part, "k", "o", index, seal_keys=128, emit_sealed=True).collect()
-        found += [r.ord for r in out if r.how >= 0]
-        new = [(r.spread, None, None, None, r.how, r.blob) for r in out if r.how == seen.STORED]
-        index = index.unionByName(spark.createDataFrame(new, seen._ROWS)).withMetadata("how", {"ranges": 4})
+        out = runtime.keep(seen.seen_candidates(part, "k", "o", seen.index_ranges(index), index, seal_keys=128, emit_sealed=True), "test")
+        found += [r.ord for r in out.where("how >= 0").collect()]
+        seen.sealed_rows(out).write.parquet(str(tmp_path / str(low + 1)))
     assert sorted(found) == repeats(rows)
+    index = spark.read.parquet(*[str(p) for p in tmp_path.iterdir()])
+    with pytest.raises(Exception, match="another number of ranges"):
+        seen.seen_candidates(df, "k", "o", 16, index).collect()
+    with pytest.raises(ValueError):
+        seen.index_ranges(index.unionByName(seen.new_index(spark, 16)))
+    with pytest.raises(ValueError):
+        seen.index_ranges(index.limit(0))
+
+
+def test_piece_after_piece(spark):
+    rows = [(i, k, random.Random(i).choice([None, 1, 2, 3])) for i, k in names(1500, 9)]
+    df = spark.createDataFrame(rows, "o long, k string, piece int").withColumn("ord", F.lit(1))
+    first, want = {}, []
+    for piece, i, k in sorted(((p or 0), i, k) for i, k, p in rows if k):
+        if k in first:
+            want.append((piece or None, i))
+        first[k] = True
+    got = [tuple(r) for r in seen.seen_by_piece(df, "k", "o", "piece", ranges=5, seal_keys=32).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert seen.seen_by_piece(df.limit(0), "k", "o", "piece", ranges=5).count() == 0
+
+
+def test_map_of_bits_loses_nothing(spark):
+    df = spark.range(2000).withColumn("_bits", F.lit(1))
+    wanted = df.where("id % 7 = 0").select(F.xxhash64("id").alias("h"))
+    passed = {r.id for r in prefilter.may_match(df, F.xxhash64("id"), wanted, "h").collect()}
+    assert passed >= set(range(0, 2000, 7)) and len(passed) < 400
+    assert prefilter.may_match(df, F.xxhash64("id"), wanted.limit(0), "h").count() == 0
 
 
 def test_frequent_values(spark):
