@@ -17,6 +17,15 @@ COMBINATIONS = [
 PERCENTAGES = [0.05, 0.25, 0.5, 0.75, 0.9, 0.99]
 
 
+#: Ends of the batches of p9_by_batch, by year of entry; what is left, also rows without a time, comes last.
+YEARS = [2011, 2013, 2015]
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus; one of fewer splits than the session has cores is dealt out to all of them."""
+    return table(spark, d, "documents", tasks=spark.sparkContext.defaultParallelism)
+
+
 def _day() -> F.Column:
     return F.date_format("run_day", "yyyy-MM-dd").alias("run_day")
 
@@ -90,37 +99,51 @@ def p5_refused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_column(table(spark, d, "documents"))
+    return tokens.encode_column(_documents(spark, d))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix_sources(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix_report(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_mix_whole(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_whole(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix_whole(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_shares_whole(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report_whole(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.report_whole(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.pairs_of_records(*spans.shared_pairs(table(spark, d, "documents")))
+    return spans.pairs_of_records(*spans.shared_pairs(_documents(spark, d)))
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_lengths(table(spark, d, "documents"))
+    return spans.shared_lengths(_documents(spark, d))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A row per document instead of pairs: its class of equal texts, and the texts it shares a passage with."""
+    return spans.class_rows(*spans.shared_pairs(_documents(spark, d)))
+
+
+def p9_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    """As p9_found, with the documents coming in batches by their time of entry to one stored index."""
+    year, documents = F.year("ingested_at"), _documents(spark, d)
+    bounds = [(None, YEARS[0]), *zip(YEARS, YEARS[1:])]
+    batches = [documents.where((year < high) if low is None else (year >= low) & (year < high)) for low, high in bounds]
+    batches.append(documents.where(year.isNull() | (year >= YEARS[-1])))
+    return spans.pairs_of_records(*spans.shared_pairs_in_batches(batches))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_error_rate, p1_rate_checked, p1_by_day, p2_found, p2_counts, p3_found, p3_distinct, p4_found, p4_by_instrument, p4_by_position,
-        p5_sample, p5_refused, p7_ids, p8_mix, p8_shares, p8_mix_whole, p8_shares_whole, p9_found, p9_shared,
+        p5_sample, p5_refused, p7_ids, p8_mix, p8_shares, p8_mix_whole, p8_shares_whole, p9_found, p9_shared, p9_classes, p9_by_batch,
     )}
 
 
@@ -163,6 +186,22 @@ def _frequent(percent: str, columns: str) -> str:
     """
 
 
+# Every window of 200 characters of every long text, each hashed: nothing is chosen or left out.
+_WINDOWS = """
+    texts AS (SELECT hash(text) AS doc, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200 GROUP BY text),
+    places AS (SELECT doc, text, unnest(range(length(text) - 199)) AS at FROM texts),
+    windows AS (SELECT doc, at, hash(array_slice(text, at + 1, at + 200)) AS w FROM places),
+    common AS (SELECT w FROM windows GROUP BY w HAVING count(DISTINCT doc) > 1),
+    hits AS (SELECT doc, at, w FROM windows WHERE w IN (SELECT w FROM common)),
+    members AS (SELECT doc_id, hash(text) AS doc FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+    linked AS (SELECT DISTINCT x.doc AS a, y.doc AS b FROM (SELECT DISTINCT doc, w FROM hits) x JOIN (SELECT DISTINCT doc, w FROM hits) y USING (w) WHERE x.doc <> y.doc)
+"""
+_SHARED_PAIRS = f"""
+    WITH {_WINDOWS} SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM
+    (SELECT a, b FROM linked UNION ALL SELECT doc, doc FROM texts) p JOIN members x ON x.doc = p.a JOIN members y ON y.doc = p.b WHERE x.doc_id < y.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -191,5 +230,21 @@ def oracle_sql() -> dict[str, str]:
             HAVING count(*) >= 30 AND quantile_cont(error_probability_sum, 0.9) >= 5 * quantile_cont(error_probability_sum, 0.5)
         """,
         "p4_by_instrument": _quantiles("instrument_id"),
+        "p9_found": _SHARED_PAIRS,
+        "p9_by_batch": _SHARED_PAIRS,
+        "p9_classes": f"""
+            WITH {_WINDOWS}, classes AS (SELECT doc, min(doc_id) AS class_id, count(*) AS class_size FROM members GROUP BY doc),
+            links AS (SELECT a AS doc, count(*) AS links FROM linked GROUP BY a)
+            SELECT doc_id, class_id, class_size, coalesce(links, 0) AS links FROM members JOIN classes USING (doc) LEFT JOIN links USING (doc)
+        """,
+        "p9_shared": f"""
+            WITH {_WINDOWS}, classes AS (SELECT doc, min(doc_id) AS class_id, count(*) AS class_size FROM members GROUP BY doc),
+            cover AS (SELECT doc, sum(least(200, coalesce(following - at, 200))) AS covered FROM
+                (SELECT doc, at, lead(at) OVER (PARTITION BY doc ORDER BY at) AS following FROM hits) GROUP BY doc),
+            told AS (SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(k.class_size, 1) AS class_size, coalesce(length(text), 0) AS n_chars,
+                CAST(CASE WHEN k.class_size > 1 THEN length(text) ELSE coalesce(c.covered, 0) END AS BIGINT) AS shared_chars
+                FROM documents d LEFT JOIN classes k ON d.doc_id IS NOT NULL AND length(text) >= 200 AND k.doc = hash(text) LEFT JOIN cover c ON c.doc = k.doc)
+            SELECT *, CASE WHEN n_chars > 0 THEN shared_chars / n_chars ELSE 0.0 END AS shared_share FROM told
+        """,
         "p4_by_position": _quantiles("pos_no"),
     }

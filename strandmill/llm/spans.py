@@ -10,281 +10,92 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import keep, spread
+from ..plans.runtime import keep, new_folder, shuffle_partitions
+from .prefilter import may_match
+from .span_index import CROWD, PRINTS, SpanIndex, part_of
+from .windows import chosen_windows, code_points, level_step, levels_needed, pieces, window_hashes
 
 #: Characters a shared span has at least, and of the hashed windows inside it.
 SPAN, GRAM = 200, 100
 
-#: Characters hashed at once; rows of a batch of the index; members from which a window is refined instead of paired.
-CHUNK_CHARS, BATCH_ROWS, CROWD = 1 << 19, 1 << 18, 64
+#: Pairs of one text verified by one task at most; those of a text in more are spread over several.
+HOT_PAIRS = 10_000
 
-_BASE = 0x9E3779B97F4A7C15
-_M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: Texts a task remembers, so that copies which lie together are hashed and sent once.
+COPIES = 1 << 20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        n = max(n, CHUNK_CHARS + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        first = np.array([1], dtype=np.uint64)
-        _powers = (
-            np.cumprod(np.concatenate([first, np.full(n, _BASE, dtype=np.uint64)])),
-            np.cumprod(np.concatenate([first, np.full(n, inverse, dtype=np.uint64)])),
-        )
-    return _powers
-
-
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-
-
-def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each window of ``length`` code points; equal windows have equal hashes."""
-    n = len(codes)
-    if n < length:
-        return np.empty(0, dtype=np.uint64)
-    powers, inverse = _power_tables(n)
-    x = (codes.astype(np.uint64) + np.uint64(1)) * _M1
-    x ^= x >> np.uint64(32)
-    x *= _M2
-    x *= powers[:n]
-    np.cumsum(x, out=x)
-    h = x[length - 1 :].copy()
-    h[1:] -= x[: n - length]
-    h *= inverse[: n - length + 1]
-    h ^= h >> np.uint64(29)
-    h *= _M2
-    h ^= h >> np.uint64(32)
-    h *= _M1
-    return h
-
-
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` neighbours."""
-    step = 1
-    while 2 * step <= width:
-        x = np.minimum(x[:-step], x[step:])
-        step *= 2
-    return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
-
-
-def chosen_windows(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of chosen windows of texts laid end to end, and the text each is of.
-
-    Of all windows of ``gram`` inside each stretch of ``span`` the least hash is
-    chosen, so two texts that share a stretch share a chosen hash.
+def fingerprints(texts: DataFrame, ranges: int, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Rows ``(part, hash, doc, context)``: the chosen windows of each text.  ``texts``: ``(doc, text)``.
+
+    ``doc`` is a number of the text itself, so copies of a text give the same rows; a
+    task gives them once.  A null or short text gives none.
     """
-    width = span - gram + 1
-    fit = ends - starts >= span
-    if not fit.any():
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    h = window_hashes(codes, gram)
-    # The place's low bits make neighbours differ, so that a new least hash shows as a change.
-    least = _least((h & ~np.uint64(127)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(127)), width)
-    new = np.empty(len(least), dtype=bool)
-    new[0] = True
-    np.not_equal(least[1:], least[:-1], out=new[1:])
-    owner = np.flatnonzero(fit)
-    first, last = starts[owner], ends[owner] - span + 1
-    new[first] = True
-    at = np.flatnonzero(new)
-    which = np.searchsorted(first, at, side="right") - 1
-    inside = (which >= 0) & (at < last[which])
-    return (least[at[inside]] >> np.uint64(7)).astype(np.int64), owner[which[inside]]
-
-
-def _pieces(texts: list[str], span: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of texts (their numbers and parts) of about CHUNK_CHARS; a longer text comes in parts that overlap by a span."""
-    numbers: list[int] = []
-    parts: list[str] = []
-    size = 0
-    for i, text in enumerate(texts):
-        if len(text) < span:
-            continue
-        for at in range(0, len(text), CHUNK_CHARS - span):
-            part = text[at : at + CHUNK_CHARS]
-            if at and len(part) < span:
-                continue
-            if size + len(part) > CHUNK_CHARS and parts:
-                yield numbers, parts
-                numbers, parts, size = [], [], 0
-            numbers.append(i)
-            parts.append(part)
-            size += len(part)
-    if parts:
-        yield numbers, parts
-
-
-_PRINTS = T.StructType([T.StructField("hash", T.LongType()), T.StructField("doc", T.LongType())])
-
-
-def fingerprints(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Rows ``(hash, doc)``: the chosen windows of each text, each once.  ``texts``: ``(doc, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                hashes, docs = [], []
-                for numbers, parts in _pieces([t or "" for t in batch.column(1).to_pylist()], span):
+                new = []
+                for doc, text in zip(ids.tolist(), batch.column(1).to_pylist()):
+                    new.append("" if text is None or doc in known else text)
+                    known.add(doc)
+                if len(known) > COPIES:
+                    known.clear()
+                found: tuple[list, list, list] = ([], [], [])
+                for numbers, parts in pieces(new, span):
                     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
                     ends = np.cumsum(lengths)
-                    found, owner = chosen_windows(code_points("".join(parts)), ends - lengths, ends, span, gram)
-                    hashes.append(found)
-                    docs.append(ids[np.asarray(numbers)[owner]])
-                if not hashes:
-                    continue
-                h, d = np.concatenate(hashes), np.concatenate(docs)
-                order = np.lexsort((h, d))
-                h, d = h[order], d[order]
-                once = np.ones(len(h), dtype=bool)
-                once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[once]), pa.array(d[once])], names=["hash", "doc"])
-
-    return texts.select("doc", "text").mapInArrow(run, _PRINTS)
+                    hashes, around, owner = chosen_windows(code_points("".join(parts)), ends - lengths, ends, span, gram)
+                    for held, x in zip(found, (hashes, ids[np.asarray(numbers)[owner]], around)):
+                        held.append(x)
+                if found[0]:
+                    h, d, c = (np.concatenate(x) for x in found)
+                    yield pa.RecordBatch.from_arrays([pa.array(part_of(h, ranges)), pa.array(h), pa.array(d), pa.array(c)], names=PRINTS.names)
 
-
-class WindowIndex:
-    """Sorted immutable runs of (hash, doc); a batch is merge-joined with each and then becomes a run.
-
-    A run as large as the one before it is merged with it, so there are about log2(n / batch).
-    """
-
-    def __init__(self):
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, h: np.ndarray, d: np.ndarray) -> None:
-        """Adds a batch sorted by hash and doc."""
-        self.runs.append((h, d))
-        while len(self.runs) > 1 and len(self.runs[-1][0]) >= len(self.runs[-2][0]):
-            (h1, d1), (h2, d2) = self.runs[-2:]
-            h, d = np.concatenate([h1, h2]), np.concatenate([d1, d2])
-            order = np.lexsort((d, h))
-            self.runs[-2:] = [(h[order], d[order])]
-
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """How many entries each hash has."""
-        out = np.zeros(len(h), dtype=np.int64)
-        for rh, _ in self.runs:
-            out += np.searchsorted(rh, h, "right") - np.searchsorted(rh, h, "left")
-        return out
-
-    def matches(self, h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (doc of the batch, doc of the index) under a common hash."""
-        mine, theirs = [], []
-        for rh, rd in self.runs:
-            first = np.searchsorted(rh, h, "left")
-            n = np.searchsorted(rh, h, "right") - first
-            mine.append(np.repeat(d, n))
-            theirs.append(rd[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)])
-        return (np.concatenate(mine), np.concatenate(theirs)) if mine else (d[:0], d[:0])
-
-    def evict(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes all entries of the sorted hashes ``h`` out of the index."""
-        hashes, docs = [], []
-        for i, (rh, rd) in enumerate(self.runs):
-            out = _among(rh, h)
-            hashes.append(rh[out])
-            docs.append(rd[out])
-            self.runs[i] = (rh[~out], rd[~out])
-        return np.concatenate(hashes), np.concatenate(docs)
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each of ``x`` is in the sorted array."""
-    if not len(known):
-        return np.zeros(len(x), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-_LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("crowd", T.BooleanType())])
-
-
-def _link(a: np.ndarray, b: np.ndarray, crowd: bool) -> pa.RecordBatch:
-    if not crowd:
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        once = np.ones(len(a), dtype=bool)
-        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        once &= a != b
-        a, b = a[once], b[once]
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), crowd))], names=["a", "b", "crowd"])
-
-
-def _index(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
-    """Joins each batch of fingerprints with those before it; rows come sorted by doc.
-
-    Entries of a hash with more than ``crowd`` leave the index as crowd rows, and later
-    ones pass by it, so that a phrase of very many texts takes no memory.
-    """
-    index, crowded = WindowIndex(), np.empty(0, dtype=np.int64)
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def batch() -> Iterator[pa.RecordBatch]:
-        nonlocal crowded
-        table = pa.Table.from_batches(held)
-        h, d = table.column("hash").to_numpy(), table.column("doc").to_numpy()
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        by = _among(h, crowded)
-        if by.any():
-            yield _link(d[by], h[by], True)
-            h, d = h[~by], d[~by]
-        index.add(h, d)  # its own members are matched as well
-        n = index.count(h)
-        if (n > crowd).any():
-            out = np.unique(h[n > crowd])
-            full_h, full_d = index.evict(out)
-            yield _link(full_d, full_h, True)
-            crowded = np.union1d(crowded, out)
-        few = (n > 1) & (n <= crowd)
-        for at in range(0, len(h), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            mine, theirs = index.matches(h[part][few[part]], d[part][few[part]])
-            if len(mine):
-                yield _link(mine, theirs, False)
-
-    for part in batches:
-        held.append(part)
-        rows += part.num_rows
-        if rows >= BATCH_ROWS:
-            yield from batch()
-            held, rows = [], 0
-    if held:
-        yield from batch()
+    return texts.select("doc", "text").mapInArrow(run, PRINTS)
 
 
 def _refined(rows: DataFrame, texts: DataFrame, span: int, gram: int, all_pairs: bool) -> DataFrame:
-    """Links of crowded windows: ``(a, b)`` only where a whole span around the window agrees.
+    """Links of crowded windows: ``(a, b)`` only where what lies around the window agrees too.
 
-    ``rows``: ``(doc, hash)``.  Each text's spans around its crowded windows are hashed
-    whole, so links come only from texts that share a span, not from all that share a
-    common phrase.  Without ``all_pairs`` each text is linked to the least of its span.
+    ``rows``: ``(doc, hash)``.  With ``all_pairs`` a key is the window with the levels
+    around it that must agree, one for each way to part them into left and right: a few
+    keys a window, and texts of one key have nearly a span in common.  Without it keys
+    are whole spans around the window, and each text is linked to the least of its span
+    alone, so that a phrase of very many texts makes no more links than texts.
     """
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("whole", T.LongType())])
     wanted = rows.groupBy("doc").agg(F.collect_set("hash").alias("hashes"))  # of one text: at most its windows
+    step, needed = level_step(span, gram), levels_needed(span, gram)
+
+    def keys(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not all_pairs:
+            spans = window_hashes(codes, span).astype(np.int64)
+            near = np.zeros(len(spans) + span, dtype=np.int64)
+            np.add.at(near, np.maximum(0, at - (span - gram)), 1)
+            np.add.at(near, at + 1, -1)
+            return np.unique(spans[np.cumsum(near)[: len(spans)] > 0])
+        wide = window_hashes(codes, gram + needed * step)
+        out = []
+        for left in range(needed + 1):
+            first = at - left * step
+            first = first[(first >= 0) & (first < len(wide))]
+            out.append(wide[first] * np.uint64(2 * left + 1))
+        return np.unique(np.concatenate(out)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, hashes in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 codes = code_points(text)
                 h = (window_hashes(codes, gram) >> np.uint64(7)).astype(np.int64)
-                spans = window_hashes(codes, span).astype(np.int64)
-                near = np.zeros(len(spans) + span, dtype=np.int64)
-                at = np.flatnonzero(np.isin(h, np.asarray(hashes)))
-                np.add.at(near, np.maximum(0, at - (span - gram)), 1)
-                np.add.at(near, at + 1, -1)
-                found = np.unique(spans[np.cumsum(near)[: len(spans)] > 0])
+                found = keys(codes, np.flatnonzero(np.isin(h, np.asarray(hashes))))
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc), pa.int64()), pa.array(found)], names=["doc", "whole"])
 
-    spans = texts.join(wanted, "doc").select("doc", "text", "hashes").mapInArrow(run, schema)
+    spans = may_match(texts, F.col("doc"), wanted, "doc").join(wanted, "doc").select("doc", "text", "hashes").mapInArrow(run, schema).distinct()
     if not all_pairs:
         least = spans.groupBy("whole").agg(F.min("doc").alias("a"))
         return spans.join(least, "whole").where(F.col("a") < F.col("doc")).select("a", F.col("doc").alias("b")).distinct()
@@ -345,73 +156,145 @@ def _stretches(at: np.ndarray, span: int) -> list[tuple[int, int]]:
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("upto", T.LongType())]))
-_VERIFIED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("of_a", _SPANS), T.StructField("of_b", _SPANS)])
+_TEXTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("second", T.LongType())])
+_VERIFIED = T.StructType([T.StructField("a", _TEXTS), T.StructField("b", _TEXTS), T.StructField("of_a", _SPANS), T.StructField("of_b", _SPANS)])
 _ARROW_SPANS = pa.list_(pa.struct([("from", pa.int64()), ("upto", pa.int64())]))
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, hot: DataFrame, other: str) -> DataFrame:
+    """The pairs with the text of one side; a text of very many pairs is sent to several tasks, each with a part of them."""
+    mine = hot.select(F.col("doc").alias(side), "salts")
+    salt = F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")
+    asked = pairs.join(mine, side, "left").withColumn(f"{side}_salt", salt).drop("salts")
+    sent = texts.join(hot, "doc", "left").select(
+        F.col("doc").alias(side), F.col("text").alias(f"{side}_text"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias(f"{side}_salt")
+    )
+    return asked.join(sent, [side, f"{side}_salt"]).drop(f"{side}_salt")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, span: int) -> DataFrame:
-    """The pairs whose texts do share a span, with the stretches of both."""
+    """The pairs whose texts do share a span, with the stretches of both.
+
+    ``texts`` has ``(doc, second, text)``.  Of them only those of a pair are sent on, and
+    copies are put together before they are.
+    """
+    packed = pa.struct([("doc", pa.int64()), ("second", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[str, Prepared] | None = None  # pairs come by b, whose text stays for its pairs
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 out: tuple[list, list, list, list] = ([], [], [], [])
-                for a, b, x, y in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns)):
-                    if known is None or known[0] != y:
-                        known = (y, prepared(y, span))
-                    of_a, of_b = shared_intervals(x, y, span, of_y=known[1])
-                    if of_a:
-                        for held, new in zip(out, (a, b, [{"from": f, "upto": t} for f, t in of_a], [{"from": f, "upto": t} for f, t in of_b])):
-                            held.append(new)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], _ARROW_SPANS), pa.array(out[3], _ARROW_SPANS)], names=["a", "b", "of_a", "of_b"])
-
-    with_a = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("x")), "a")
-    both = with_a.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, _VERIFIED)
-
-
-def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None,
-                 crowd: int = CROWD, all_pairs: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different texts that share a span, and the classes of equal texts.
+                for a, b, of_one, of_other in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns)):
+                    # A number that stands for two texts has both.
+                    for x, y in ((x, y) for y in of_other for x in of_one):
+                        if known is None or known[0] != y["text"]:
+                            known = (y["text"], prepared(y["text"], span))
+                        of_a, of_b = shared_intervals(x["text"], y["text"], span, of_y=known[1])
+                        if of_a:
+                            row = {"doc": a, "second": x["second"]}, {"doc": b, "second": y["second"]}, [{"from": f, "upto": t} for f, t in of_a], [{"from": f, "upto": t} for f, t in of_b]
+                            for held, new in zip(out, row):
+                                held.append(new)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], packed), pa.array(out[1], packed), pa.array(out[2], _ARROW_SPANS), pa.array(out[3], _ARROW_SPANS)], names=["a", "b", "of_a", "of_b"])
+
+    docs = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+    # Rows of texts in many pairs: a HOT_PAIRS-th of the pairs at most.  Written, so that the joins know its size.
+    hot = keep(docs.groupBy(F.col("a").alias("doc")).count().where(F.col("count") > HOT_PAIRS).select("doc", F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("salts")), "hot")
+    asked = may_match(texts, F.col("doc"), docs, "a")
+    by_doc = asked.groupBy("doc").agg(F.collect_set(F.struct("second", "text")).alias("text"))
+    both = _with_text(_with_text(pairs, by_doc, "a", hot, "b"), by_doc, "b", hot, "a")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, _VERIFIED)
+
+
+def _numbered(documents: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
+    """Rows ``(id, doc, second, text)`` of texts long enough: two 64-bit numbers of the text itself."""
+    text = F.col(text_col)
+    return documents.where(F.col(id_col).isNotNull() & (F.length(text) >= span)).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("doc"), F.xxhash64(F.lit("second"), text).alias("second"), text.alias("text")
+    )
 
-    Returns ``(a, b, of_a, of_b)`` with a < b, the least ids of two classes, and
-    ``(id, doc)``, the class of each record with a text of ``span`` characters or more.
 
-    Chosen windows of one text per class go into the index: a task has a range of
-    hashes, takes texts in order of id and joins each batch with the sorted runs of
-    those before.  Pairs it names are verified on the whole texts.  A window that many
-    texts have is refined to whole spans first, so a common phrase makes no pairs.
-    """
+def new_index(spark, folder: str | None = None, ranges: int | None = None, span: int = SPAN, gram: int | None = None) -> SpanIndex:
+    """An empty index in ``folder``, or in one of its own in the shared folder; of as many hash ranges as a shuffle has partitions."""
     gram = gram or max(1, span // 2)
     if span - gram + 1 > 128:
         gram = span - 127
-    text = F.col(text_col)
-    long = documents.where(F.col(id_col).isNotNull() & (F.length(text) >= span))
-    marked = long.select(F.col(id_col).cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    classes = keep(
-        marked.join(marked.groupBy("digest").agg(F.min("id").alias("doc")), "digest").select("id", "doc"), "classes"
-    )
-    firsts = spread(long.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")), "doc")
-    prints = fingerprints(firsts, span, gram)
-    # Written by itself, so that the join knows its size: sent to all tasks only if it is small.
-    copies = keep(classes.where(F.col("id") != F.col("doc")).select(F.col("id").alias("doc")), "copies")
-    placed = prints.join(copies, "doc", "left_anti").repartition("hash").sortWithinPartitions("doc")
-    links = keep(placed.mapInArrow(lambda b: _index(b, crowd), _LINKS).distinct(), "links")
+    return SpanIndex.create(spark, folder or new_folder(spark, "spans"), ranges or shuffle_partitions(spark), span, gram)
+
+
+def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int | None = None,
+                 crowd: int = CROWD, all_pairs: bool = True, index: SpanIndex | None = None, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different texts that share a span, and the texts of the records.
+
+    Returns ``(a, b, of_a, of_b)``, a and b being texts ``(doc, second)``, and
+    ``(id, doc, second)`` for each record with a text of ``span`` characters or more.
+    Records of one text have one ``doc``; the number comes from the text, so neither
+    repeated ids nor repeated texts lose a link.
+
+    Chosen windows of the texts are written as a sorted run of the index, which is
+    merge-joined with itself and the runs before it; the pairs it names are verified on
+    the whole texts.  A window that many texts have is refined first, so a common phrase
+    makes no pairs.  With an ``index`` that holds ``earlier`` documents, the pairs are
+    those of a new text with any; the run then stays in it.  Without one all is joined
+    at once and no run stays.
+    """
+    spark = documents.sparkSession
+    own = index is None
+    index = new_index(spark, span=span, gram=gram) if own else index
+    span, gram = index.span, index.gram
+    rows = _numbered(documents, id_col, text_col, span)
+    classes = keep(rows.select("id", "doc", "second"), "classes")
+    run = index.add(fingerprints(rows, index.ranges, span, gram))
+    links = keep(index.links(run, crowd, levels_needed(span, gram)).distinct(), "links")
+    if own:
+        index.drop()
+    else:
+        index.commit(run)
+    texts = rows if earlier is None else rows.unionByName(_numbered(earlier, id_col, text_col, span))
     few = links.where(~F.col("crowd")).select("a", "b")
     many = links.where("crowd").select(F.col("a").alias("doc"), F.col("b").alias("hash"))
     pairs = few
     if not many.isEmpty():
-        pairs = few.unionByName(_refined(many, firsts.dropDuplicates(["doc"]), span, gram, all_pairs)).distinct()
-    return _verified(pairs, firsts, span), classes
+        pairs = keep(few.unionByName(_refined(many, texts, span, gram, all_pairs)).distinct(), "pairs")
+    return _verified(pairs, texts.select("doc", "second", "text"), span), classes
+
+
+def shared_pairs_in_batches(batches: list[DataFrame], id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """shared_pairs() of all the batches together, found batch after batch through one stored index."""
+    index = new_index(batches[0].sparkSession, span=span)
+    verified = classes = earlier = None
+    for batch in batches:
+        pairs, own = shared_pairs(batch, id_col, text_col, span, crowd=crowd, index=index, earlier=earlier)
+        pairs = keep(pairs, "verified")
+        verified, classes = (pairs, own) if verified is None else (verified.unionByName(pairs), classes.unionByName(own))
+        earlier = batch if earlier is None else earlier.unionByName(batch)
+    index.drop()
+    return verified, classes
 
 
 def pairs_of_records(verified: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows ``(doc_id_a, doc_id_b)``: the pairs written out for all members of the classes."""
-    first, second = classes.select(F.col("id").alias("i"), F.col("doc").alias("a")), classes.select(F.col("id").alias("j"), F.col("doc").alias("b"))
+    """Rows ``(doc_id_a, doc_id_b)``: the pairs written out for all records of the texts.
+
+    As many rows as there are pairs; class_rows() and shared_lengths() are the forms that don't grow so.
+    """
+    text = F.struct("doc", "second")
+    first, second = classes.select(F.col("id").alias("i"), text.alias("a")), classes.select(F.col("id").alias("j"), text.alias("b"))
     across = verified.select("a", "b").join(first, "a").join(second, "b").select("i", "j")
-    within = classes.select(F.col("id").alias("i"), "doc").join(classes.select(F.col("id").alias("j"), "doc"), "doc").where(F.col("i") < F.col("j")).select("i", "j")
-    return across.unionByName(within).select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b")).distinct()
+    within = first.join(second.withColumnRenamed("b", "a"), "a").where(F.col("i") < F.col("j")).select("i", "j")
+    both = across.unionByName(within).where(F.col("i") != F.col("j"))
+    return both.select(F.least("i", "j").alias("doc_id_a"), F.greatest("i", "j").alias("doc_id_b")).distinct()
+
+
+def class_rows(verified: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row ``(doc_id, class_id, class_size, links)`` per record of a text long enough.
+
+    A class is the records of one text, named by the least id; ``links`` are the other
+    texts it shares a span with.
+    """
+    text = F.struct("doc", "second")
+    sizes = classes.groupBy(text.alias("text")).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    links = verified.select("a", "b").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy(F.col("a").alias("text")).agg(F.count(F.lit(1)).alias("links"))
+    return classes.select(F.col("id").alias("doc_id"), text.alias("text")).join(sizes, "text").join(links, "text", "left").select("doc_id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def shared_lengths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, crowd: int = CROWD) -> DataFrame:
@@ -424,20 +307,22 @@ def shared_lengths(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     verified, classes = shared_pairs(documents, id_col, text_col, span, crowd=crowd, all_pairs=False)
     verified = keep(verified, "verified")
-    sides = verified.select(F.col("a").alias("doc"), F.col("of_a").alias("s")).unionByName(verified.select(F.col("b").alias("doc"), F.col("of_b").alias("s")))
+    sides = verified.select(F.col("a").alias("text"), F.col("of_a").alias("s")).unionByName(verified.select(F.col("b").alias("text"), F.col("of_b").alias("s")))
     cover = (
-        sides.select("doc", F.explode("s").alias("s")).select("doc", F.col("s.from").alias("from"), F.col("s.upto").alias("upto")).distinct()
-        .withColumn("reach", F.max("upto").over(Window.partitionBy("doc").orderBy("from", "upto").rowsBetween(Window.unboundedPreceding, -1)))
-        .groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("upto") - F.greatest(F.col("from"), F.coalesce("reach", "from")))).alias("covered"))
+        sides.select("text", F.explode("s").alias("s")).select("text", F.col("s.from").alias("from"), F.col("s.upto").alias("upto")).distinct()
+        .withColumn("reach", F.max("upto").over(Window.partitionBy("text").orderBy("from", "upto").rowsBetween(Window.unboundedPreceding, -1)))
+        .groupBy("text").agg(F.sum(F.greatest(F.lit(0), F.col("upto") - F.greatest(F.col("from"), F.coalesce("reach", "from")))).alias("covered"))
+    )
+    of_text = F.struct("doc", "second")
+    facts = classes.groupBy(of_text.alias("text")).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")).join(cover, "text", "left")
+    numbered = documents.select(
+        id_col, F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"),
+        F.when(F.col(id_col).isNotNull() & (F.length(text_col) >= span), F.struct(F.xxhash64(text_col).alias("doc"), F.xxhash64(F.lit("second"), F.col(text_col)).alias("second"))).alias("text"),
     )
-    sizes = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("members"))
-    facts = classes.join(sizes, "doc").join(cover, "doc", "left")
-    number = F.col(id_col).cast("long")
     return (
-        documents.select(id_col, F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
-        .join(facts.withColumnRenamed("id", "_id"), number == F.col("_id"), "left")
+        numbered.join(facts, "text", "left")
         .select(
-            id_col, F.coalesce("doc", number).alias("class_id"), F.coalesce("members", F.lit(1).cast("long")).alias("class_size"), "n_chars",
+            id_col, F.coalesce("class_id", F.col(id_col).cast("long")).alias("class_id"), F.coalesce("members", F.lit(1).cast("long")).alias("class_size"), "n_chars",
             F.when(F.col("members") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("long").alias("shared_chars"),
         )
         .withColumn("shared_share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(F.lit(0.0)))

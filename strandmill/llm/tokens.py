@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import spread
 from . import bpe
 
 #: Rows encoded at once, to bound a worker's memory.
@@ -28,8 +27,7 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     An empty and a null text give an empty list.  Strings that look like special
     tokens are ordinary text.  Null and repeated ids are kept as they lie; other
-    columns aren't read.  A narrow map, each text in one pass; only an input smaller
-    than its cores' least splits is spread over them first.
+    columns aren't read.  A narrow map, each text in one pass, in the input's partitions.
     """
     shared, key = _vocabulary(df, vocabulary)
     schema = T.StructType([
@@ -46,7 +44,7 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
-    return spread(df.select(F.col(id_col), F.col(text_col).alias("ids")), id_col).mapInArrow(run, schema)
+    return df.select(F.col(id_col), F.col(text_col).alias("ids")).mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None,
@@ -63,4 +61,4 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", vocabul
                 counts = model.count_texts([x or "" for x in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(counts, pa.int64())], names=[*keep, count_col])
 
-    return spread(df.select(*keep, F.col(text_col).alias(count_col)), keep[0]).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text_col).alias(count_col)).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from strandmill.llm import mixing, spans
+from strandmill.llm import mixing, span_index, spans, windows
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -99,7 +99,7 @@ def test_mix_of_a_given_size(spark):
 def test_window_hashes_agree_with_windows():
     rng = random.Random(1)
     text = "".join(rng.choice("ab") for _ in range(3000))
-    h = spans.window_hashes(spans.code_points(text), 12)
+    h = windows.window_hashes(windows.code_points(text), 12)
     by = defaultdict(set)
     for i, x in enumerate(h.tolist()):
         by[text[i : i + 12]].add(x)
@@ -136,7 +136,7 @@ def corpus(seed, n=60):
 
 @pytest.mark.parametrize("crowd, batch", [(64, 1 << 18), (3, 1 << 18), (2, 50)])
 def test_shared_spans(spark, monkeypatch, crowd, batch):
-    monkeypatch.setattr(spans, "BATCH_ROWS", batch)
+    monkeypatch.setattr(span_index, "BATCH_ROWS", batch)
     span = 40
     rows = corpus(crowd + batch)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("x")).withColumn("a", F.lit(1)).repartition(5)
@@ -155,18 +155,69 @@ def test_long_texts_come_in_parts(spark, monkeypatch):
     rows = [(1, long), (2, "x" * 50 + long[24_990:25_240] + "y" * 50), (3, long[100:299]), (4, long[48_000:48_200])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, spans.pairs_of_records(*spans.shared_pairs(df)).collect())) == [(1, 2), (1, 4)]
-    numbers = list(spans._pieces([long, "short", long], 200))
+    numbers = list(windows.pieces([long, "short", long], 200))
     assert {i for g, _ in numbers for i in g} == {0, 2}
     assert spans.shared_lengths(df.limit(0)).count() == 0
 
 
 def test_parts_overlap(monkeypatch):
-    monkeypatch.setattr(spans, "CHUNK_CHARS", 1000)
+    monkeypatch.setattr(windows, "CHUNK_CHARS", 1000)
     rng = random.Random(2)
     text = "".join(rng.choice("abcdef") for _ in range(5000))
     covered = set()
-    for _, parts in spans._pieces([text], 200):
+    for _, parts in windows.pieces([text], 200):
         for p in parts:
             at = text.index(p)
             covered.update(range(at, at + len(p) - 199))
     assert covered == set(range(4801))
+
+
+def test_batches_through_a_stored_index(spark, monkeypatch):
+    monkeypatch.setattr(span_index, "BATCH_ROWS", 70)
+    rows = corpus(11, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs, _ = brute(rows, 40)
+    for crowd in (64, 3):
+        batches = [df.where(F.pmod("doc_id", F.lit(4)) == i) for i in range(4)] + [df.limit(0), df.where("doc_id < 3")]
+        found = spans.pairs_of_records(*spans.shared_pairs_in_batches(batches, span=40, crowd=crowd))
+        assert sorted(map(tuple, found.collect())) == sorted(pairs)
+
+
+def test_index_is_opened_again_and_compacts(spark, tmp_path):
+    rows = corpus(5, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = spans.new_index(spark, f"{tmp_path}/index", 3, span=40)
+    verified = []
+    for low in range(0, 80, 10):
+        index = span_index.SpanIndex.open(spark, f"{tmp_path}/index")
+        part = df.where((F.col("doc_id") >= low) & (F.col("doc_id") < low + 10))
+        pairs, _ = spans.shared_pairs(part, index=index, earlier=df.where(F.col("doc_id") < low))
+        verified += [(r.a.doc, r.b.doc) for r in pairs.collect()]
+    assert index.span == 40 and len(index.runs) <= 4 and sum(n for _, n in index.runs) > 100
+    assert {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("run-")} == {r for r, _ in index.runs}
+    one = {(r.a.doc, r.b.doc) for r in spans.shared_pairs(df, span=40)[0].collect()}
+    assert {tuple(sorted(p)) for p in verified} == {tuple(sorted(p)) for p in one} and one
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_ids_of_two_texts_and_hot_texts_lose_nothing(spark, monkeypatch, crowd):
+    monkeypatch.setattr(spans, "HOT_PAIRS", 5)
+    rng = random.Random(3)
+    common = "".join(rng.choice("abcdefgh") for _ in range(60))
+    rows = [(i, common + f"{i:05d}" * 4) for i in range(40)] + [(i, f"{i:06d}" * 9) for i in range(40)] + [(100 + i, common) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = {(a, b) for a in [*range(40), *range(100, 130)] for b in [*range(40), *range(100, 130)] if a < b}
+    verified, classes = spans.shared_pairs(df, span=40, crowd=crowd)
+    found = {tuple(r) for r in spans.pairs_of_records(verified, classes).collect()}
+    assert found >= pairs and {p for p in found if p not in pairs} <= {(a, b) for a in range(40) for b in range(40)}
+    told = {(r.doc_id, r.class_id, r.class_size, r.links) for r in spans.class_rows(verified, classes).collect() if r.doc_id >= 100}
+    assert told == {(100 + i, 100, 30, 40) for i in range(30)}
+
+
+def test_streams_of_entries_hold_little(monkeypatch):
+    e = lambda h, d: (np.array(h), np.array(d), np.zeros(len(h), dtype=np.int64))
+    new = [e([1, 1, 2], [1, 2, 1]), e([2, 2, 2, 2], [2, 3, 4, 5]), e([2, 2, 5, 6], [6, 7, 1, 9])]
+    old = [[e([0, 1, 2, 5], [8, 8, 8, 8]), e([5, 7], [9, 9])], []]
+    links = [(a, b, c) for x in span_index.merge_joined(new, old, 3, 0) for a, b, c in zip(*(y.to_pylist() for y in x.columns))]
+    assert {(a, b) for a, b, c in links if not c} == {(1, 2), (1, 8), (2, 8), (1, 9)}
+    assert sorted(a for a, b, c in links if c and b == 2) == [1, 2, 3, 4, 5, 6, 7, 8]
