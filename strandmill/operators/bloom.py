@@ -1,7 +1,7 @@
 """Approximate sets of names: a Bloom filter that grows by layers, over arrays of hashes.
 
-Batch plans find repeated names by an exact aggregate and need no such set.  It serves
-where a set must stay in memory, as in a task that prefilters an incoming feed.
+It serves where a set must stay in memory: lint.possible_duplicates() has one in each
+task, and only names it has met before go to the exact check.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def optimal_bits(rate: float, capacity: int) -> int:
 
 def optimal_hashes(bits: int, capacity: int) -> int:
     """Bits to set for each key."""
-    return max(1, round(bits / capacity * math.log(2)))
+    return max(1, math.ceil(bits / capacity * math.log(2)))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ class BloomFilter:
 
 
 class ScalableBloomFilter:
-    """Layers of filters: a full one is followed by a larger and stricter one, so the rate stays bounded."""
+    """Layers of filters: when all are full a stricter one follows, GROWTH times as large as they are together, so the rate stays bounded."""
 
     def __init__(self, rate: float = NAME_RATE, capacity: int = NAME_CAPACITY):
         self.layers = [BloomFilter(rate, capacity)]
@@ -80,7 +80,7 @@ class ScalableBloomFilter:
             last = self.layers[-1]
             room = last.capacity - last.count
             if room <= 0:
-                self.layers.append(BloomFilter(last.rate * TIGHTENING, last.capacity * GROWTH))
+                self.layers.append(BloomFilter(last.rate * TIGHTENING, sum(x.capacity for x in self.layers) * GROWTH))
                 continue
             last.insert(new[:room])
             new = new[room:]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import check_allowlist_name
+from ..functions.patterns import java_pattern
 
 
 def filter_names(reads: DataFrame, names: DataFrame, keys: list[str] | None = None, name_col: str = "name") -> DataFrame:
@@ -22,7 +21,10 @@ def filter_names(reads: DataFrame, names: DataFrame, keys: list[str] | None = No
 
 
 def filter_pattern(reads: DataFrame, pattern: str, keys: list[str] | None = None) -> DataFrame:
-    """Records whose first segment's sequence matches the pattern anywhere, with all their segments."""
+    """Records whose first segment's sequence matches the pattern anywhere, with all their segments.
+
+    The pattern's language is that of functions.patterns; a malformed one fails before any plan is made.
+    """
     return filter_where(reads, F.col("sequence").rlike(java_pattern(pattern)), keys)
 
 
@@ -45,19 +47,3 @@ def with_segments(reads: DataFrame, first: DataFrame, keys: list[str] | None = N
 def missing_segments(filtered: DataFrame, segments: int, keys: list[str] | None = None) -> DataFrame:
     """Chosen records that lack a segment: an input ended too early."""
     return filtered.groupBy(*(keys or []), "record_no").agg(F.countDistinct("segment").alias("n")).where(F.col("n") < segments)
-
-
-def java_pattern(pattern: str) -> str:
-    """A sequence pattern for the JVM's engine, checked before any plan is made.
-
-    Lines end at LF alone.  Look-around and back-references don't exist in the
-    pattern language and are refused, as is a malformed pattern.
-    """
-    if re.search(r"\(\?(?:=|!|<=|<!|>)", pattern) or re.search(r"(?<!\\)(?:\\\\)*\\(?:[1-9]|k<|g<)", pattern):
-        raise ValueError(f"invalid pattern: look-around and back-references aren't supported: {pattern}")
-    named = re.sub(r"\(\?<([A-Za-z_]\w*)>", r"(?P<\1>", pattern)
-    try:
-        re.compile(re.sub(r"\\[pP](?:\{[^}]*\}|[A-Za-z])|\\[zZhR]", ".", re.sub(r"\[\[:\^?\w+:\]\]", "[a]", named)))
-    except re.error as wrong:
-        raise ValueError(f"invalid pattern: {pattern}: {wrong}") from wrong
-    return "(?d)" + re.sub(r"\(\?P<", "(?<", pattern)

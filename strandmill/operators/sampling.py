@@ -15,6 +15,7 @@ DIGITS, CELL = 13, 4
 def check_probability(p: float) -> float:
     """A probability strictly between 0 and 1."""
     if not 0.0 < p < 1.0:
+        # Fixed value: the message.
         raise ValueError(f"invalid probability: expected (0.0, 1.0), got {p}")
     return p
 
@@ -76,6 +77,7 @@ def sample_exact(reads: DataFrame, n: int, seed: int | None = None) -> DataFrame
         raise ValueError(f"invalid record count: {n}")
     sure, rest, total = exact_cut(reads, n, new_seed(seed))
     if not total:
+        # Fixed value: the message.
         raise ValueError("invalid uniform range")
     chosen = reads.where(sure)
     return chosen if rest is None else chosen.unionByName(reads.join(rest, "record_no", "left_semi").select(*reads.columns))

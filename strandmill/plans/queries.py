@@ -11,8 +11,9 @@ from ..functions.bytestrings import display
 from ..functions.names import first_part, name_id
 from ..operators import filters, lint, metrics, pairs, parsing, sampling, validators
 from ..schema import as_reads
+from ..sources import fastq, files, text
 from ..streaming import reads as streams
-from .runtime import table
+from .runtime import keep, new_folder, remove, table
 
 FILE = ["file_id"]
 SEED = 7
@@ -52,6 +53,24 @@ def lint_p001(spark: SparkSession, d: str) -> DataFrame:
     return lint.pair_violations(_reads(spark, d), validators.PAIRED, 0, FILE).select(*_VIOLATION, "message")
 
 
+def lint_s007_prefiltered(spark: SparkSession, d: str) -> DataFrame:
+    """As lint_s007, by way of Bloom filters."""
+    return lint.duplicate_names(_reads(spark, d), FILE, prefilter=True).select(*_VIOLATION, "message")
+
+
+def lint_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the passes over all files read and found."""
+    found = _reads(spark, d)
+    return lint.totals(found, lint.lint(found, paired=True, keys=FILE), paired=True)
+
+
+def lint_own_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of one's own, of records and of pairs, beside none of the built-in ones."""
+    short = validators.ValidatorSpec("X001", "ShortSequence", "high", lambda field, failed: F.when(F.length(field("sequence")) < 20, failed(validators.SEQUENCE, 1, "short sequence")))
+    order = validators.ValidatorSpec("X002", "NamesInOrder", "high", lambda field, failed: F.when(field("name_1") > field("name_2"), failed(validators.NAME, 1, "names out of order")))
+    return lint.lint(_reads(spark, d), paired=True, keys=FILE, single=[short], mates=[order], duplicates=False).select(*_VIOLATION, "validator_name", "message")
+
+
 def lint_s007(spark: SparkSession, d: str) -> DataFrame:
     return lint.duplicate_names(_reads(spark, d), FILE).select(*_VIOLATION, "message")
 
@@ -73,8 +92,56 @@ def filter_pattern(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_pattern(_reads(spark, d), "^TC", FILE).select("read_id", "file_id", "record_no", "segment")
 
 
+def filter_posix(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern with POSIX classes."""
+    return filters.filter_pattern(_reads(spark, d), "^[[:upper:]]+[[:^alnum:]]", FILE).select("read_id", "file_id", "record_no", "segment")
+
+
+def filter_flags(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern with flags inside and a repeated repeat."""
+    return filters.filter_pattern(_reads(spark, d), "^(?i)t(?-i:C)[^Nn](?:a{2}){2}++", FILE).select("read_id", "file_id", "record_no", "segment")
+
+
+def filter_names_file(spark: SparkSession, d: str) -> DataFrame:
+    """As filter_names, with the list read from a text file."""
+    path = new_folder(spark, "names")
+    lines = table(spark, d, "name_list").where("name IS NOT NULL").select("name")
+    lines.coalesce(1).write.option("lineSep", "\n").text(path)
+    try:
+        names = keep(text.read_names(spark, path), "names")
+    finally:
+        remove(spark, path)
+    named = _reads(spark, d).where(~((F.col("segment") == 0) & F.col("definition").rlike(_NO_NAME)))
+    return filters.filter_names(named, names, FILE).select("read_id", "file_id", "record_no", "segment")
+
+
+_NO_NAME = r"(?s)\A([/ ][^/ ]*)?\z"
+
+
+def _through_file(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """All reads, in order of arrival, written as one FASTQ file and read again."""
+    path = new_folder(spark, "fastq") + name
+    numbered = _reads(spark, d).withColumn("record_no", F.col("read_id"))
+    fastq.write_fastq(numbered, path)
+    try:
+        again = keep(fastq.read_fastq(spark, path, split_bytes=1 << 20), "reads")
+    finally:
+        files.remove(path)
+    return again.select("record_no", *[display(F.col(c)).alias(c) for c in ("definition", "sequence", "plus_line", "quality")])
+
+
+def fastq_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Through a plain file, which is read in splits."""
+    return _through_file(spark, d, ".fastq")
+
+
+def fastq_gzip_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Through a file of gzip members."""
+    return _through_file(spark, d, ".fastq.gz")
+
+
 def filter_names(spark: SparkSession, d: str) -> DataFrame:
-    named = _reads(spark, d).where(~((F.col("segment") == 0) & F.col("definition").rlike(r"(?s)\A([/ ][^/ ]*)?\z")))
+    named = _reads(spark, d).where(~((F.col("segment") == 0) & F.col("definition").rlike(_NO_NAME)))
     return filters.filter_names(named, as_list(table(spark, d, "name_list")), FILE).select("read_id", "file_id", "record_no", "segment")
 
 
@@ -103,6 +170,16 @@ def sample_exact(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_exact(_one_file(spark, d), 1000, SEED).select("record_no")
 
 
+def sample_exact_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """An exact sample of all records as one file of pairs, mates together; a record delivered again counts once."""
+    once = table(spark, d, "fastq_reads").select(_PLACE.alias("record_no"), "segment").distinct()
+    return sampling.sample_exact(once, 1000, SEED)
+
+
+#: All records of all files as one file: a number for each.
+_PLACE = F.expr("file_id * 4294967296 + record_no")
+
+
 def describe_lengths(spark: SparkSession, d: str) -> DataFrame:
     return metrics.describe_lengths(_reads(spark, d))
 
@@ -146,6 +223,13 @@ def describe_all(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.describe(_every(_reads(spark, d)), skip_invalid=True))
 
 
+def describe_more(spark: SparkSession, d: str) -> DataFrame:
+    """With metrics of one's own beside the built-in ones."""
+    bases = F.sum(F.length("sequence")).alias("x")
+    more = [metrics.Metric("bases", bases), metrics.Metric("empty_sequences", F.count(F.when(F.col("sequence") == "", 1)))]
+    return metrics.describe(_every(_reads(spark, d)), skip_invalid=True, more=more).drop("avg_quality_score_per_position")
+
+
 def running_longest_all(spark: SparkSession, d: str) -> DataFrame:
     return metrics.running_longest(_every(_reads(spark, d))).select("record_no", "longest")
 
@@ -179,7 +263,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f.__name__: f for f in (
         reads, name_rules, lint_reads, lint_p001, lint_s007, lint_level_low, lint_counts, pair_parity, filter_pattern, filter_names,
         filter_missing_segments, sample_fraction, sample_exact, describe_lengths, describe_files, describe_quality, describe,
-        running_longest, describe_quality_all, describe_all, running_longest_all, names_loaded, stream_lint, stream_daily, p6_found, p6_loaded,
+        running_longest, describe_quality_all, describe_all, running_longest_all, describe_more, names_loaded, lint_s007_prefiltered, lint_totals,
+        lint_own_rules, filter_posix, filter_flags, filter_names_file, fastq_round_trip, fastq_gzip_round_trip, sample_exact_pairs, stream_lint, stream_daily, p6_found, p6_loaded,
     )}
     return out | {f"lint_{s.code.lower()}": _lint(s.code) for s in validators.SINGLE}
 
@@ -234,18 +319,56 @@ _GRAPHIC = f"""{_R}, g AS (SELECT read_id AS record_no, sequence, quality, max(s
     FROM (SELECT quality, unnest(range(CAST(least(length(quality), longest) AS BIGINT))) AS p FROM g) GROUP BY p)"""
 
 
+# All rows, byte by byte; those with a byte that the reference refuses have no scores.
+_BYTES = f"""{_R}, l AS (SELECT read_id AS record_no, sequence, hex(encode(quality)) AS h, max(strlen(sequence)) OVER (ORDER BY read_id ROWS UNBOUNDED PRECEDING) AS longest FROM r),
+    q AS (SELECT p AS position, round(-10 * log10(avg(pow(10, -(CAST('0x' || substr(h, CAST(2 * p + 1 AS INTEGER), 2) AS INTEGER) - 33) / 10.0))), 6) AS mean_quality
+    FROM (SELECT h, unnest(range(CAST(least(length(h) // 2, longest) AS BIGINT))) AS p FROM l
+        WHERE NOT regexp_matches(left(h, CAST(2 * longest AS INTEGER)), '^([0-9A-F]{{2}})*([01][0-9A-F]|20)')) GROUP BY p)"""
+_LENGTHS = "count(*) AS record_count, min(strlen(sequence)) AS min_sequence_length, max(strlen(sequence)) AS max_sequence_length"
+
+
+def _filtered(chosen: str, records: str = "r") -> str:
+    """Records of segment 0 for which ``chosen`` holds, and the rows of other segments at their places."""
+    return f"""f AS (SELECT * FROM {records} WHERE segment = 0 AND {chosen}) SELECT read_id, file_id, record_no, segment FROM f UNION ALL
+        SELECT read_id, file_id, record_no, segment FROM r WHERE segment <> 0 AND (file_id, record_no) IN (SELECT (file_id, record_no) FROM f)"""
+
+
+_CUT = lambda c: f"regexp_replace({c}, chr(13) || '$', '') AS {c}"  # noqa: E731  a carriage return before a line's end goes
+_ROUND_TRIP = f"WITH {_R} SELECT row_number() OVER (ORDER BY read_id) - 1 AS record_no, {', '.join(map(_CUT, ('definition', 'sequence', 'plus_line', 'quality')))} FROM r"
+_NAMED = "NOT regexp_full_match(definition, '([/ ][^/ ]*)?') AND regexp_replace(substr(definition, 2), '[/ ][^/ ]*$', '') IN"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"lint_{c.lower()}": f"WITH {_R} {_violation(c, *r)}" for c, r in _RULES.items()}
+    s007 = f"""WITH {_R} SELECT file_id, 0 AS segment, record_no, record_no * 4 + 1 AS line_no, CAST(1 AS BIGINT) AS col_no, 'S007' AS validator_code,
+            'duplicate name: ''' || n || '''' AS message FROM {_S007} WHERE record_no > first"""
     return out | {
+        "lint_s007_prefiltered": s007,
         "reads": f"WITH {_R} SELECT read_id, file_id, record_no, segment, definition, sequence, plus_line, quality FROM r",
         "name_rules": f"""WITH {_R} SELECT read_id, n AS lint_name,
             repeat(chr(65533), strlen(left(definition, 1)) - 1) || regexp_replace(substr(definition, 2), '[/ ][^/ ]*$', '') AS allowlist_name,
             split_part(definition, ':', 1) AS colon_name FROM r""",
         "lint_reads": _all_rules(True),
         "lint_counts": f"SELECT validator_code, count(*) AS failure_count FROM ({_all_rules(True)}) GROUP BY validator_code",
+        "lint_totals": f"""WITH v AS ({_all_rules(True)}) SELECT p AS pass, (SELECT count(*) FROM fastq_reads WHERE segment = 0) AS record_count,
+            (SELECT count(*) FROM v WHERE pass = p) AS failure_count FROM (SELECT unnest([1, 2]) AS p)""",
+        "lint_own_rules": f"""{_PAIRS} {_violation("X001", "1", "1", "strlen(sequence) < 20", "'short sequence'", ", 'ShortSequence' AS validator_name")}
+            UNION ALL SELECT file_id, 0, record_no, record_no * 4 + 1, CAST(1 AS BIGINT), 'X002', 'names out of order', 'NamesInOrder' FROM p WHERE n1 > n2""",
+        "filter_posix": f"WITH {_R}, {_filtered("regexp_matches(sequence, '^[[:upper:]]+[[:^alnum:]]')")}",
+        "filter_flags": f"WITH {_R}, {_filtered("regexp_matches(sequence, '^[Tt]C[^Nn]((a|A){2}){2}')")}",
+        "filter_names_file": f"WITH {_R}, {_filtered(_NAMED + " (SELECT regexp_replace(name, chr(13) || '$', '') FROM name_list WHERE name IS NOT NULL)")}",
+        "fastq_round_trip": _ROUND_TRIP,
+        "fastq_gzip_round_trip": _ROUND_TRIP,
+        "sample_exact_pairs": f"""WITH once AS (SELECT DISTINCT file_id * 4294967296 + record_no AS record_no, segment FROM fastq_reads)
+            SELECT record_no, segment FROM once WHERE record_no IN (SELECT record_no FROM once WHERE segment = 0 ORDER BY {_digits("record_no")}, record_no LIMIT 1000)""",
+        "describe_all": f"""WITH {_BYTES} SELECT {_LENGTHS}, (SELECT string_agg(printf('%.6f', coalesce(mean_quality, CAST('NaN' AS DOUBLE))), ',' ORDER BY position) FROM
+            (SELECT unnest(range(CAST((SELECT max(longest) FROM l) AS BIGINT))) AS position) LEFT JOIN q USING (position)) AS avg_quality_score_per_position FROM l""",
+        "describe_quality_all": f"""WITH {_BYTES} SELECT position, coalesce(mean_quality, CAST('NaN' AS DOUBLE)) AS mean_quality
+            FROM (SELECT unnest(range(CAST((SELECT max(longest) FROM l) AS BIGINT))) AS position) LEFT JOIN q USING (position)""",
+        "running_longest_all": f"WITH {_BYTES} SELECT record_no, longest FROM l",
+        "describe_more": f"WITH {_R} SELECT {_LENGTHS}, sum(strlen(sequence)) AS bases, count(*) FILTER (sequence = '') AS empty_sequences FROM r",
         "lint_p001": f"{_PAIRS} {_P001}, 'names mismatch: expected ''' || n2 || ''', got ''' || n1 || '''' AS message FROM p WHERE n1 <> n2",
-        "lint_s007": f"""WITH {_R} SELECT file_id, 0 AS segment, record_no, record_no * 4 + 1 AS line_no, CAST(1 AS BIGINT) AS col_no, 'S007' AS validator_code,
-            'duplicate name: ''' || n || '''' AS message FROM {_S007} WHERE record_no > first""",
+        "lint_s007": s007,
         "lint_level_low": f"WITH {_R} " + " UNION ALL ".join(_violation(c, *_RULES[c][:2], f"segment = 0 AND ({_RULES[c][2]})", _RULES[c][3]) for c in ("S004", "S001")),
         "pair_parity": f"""WITH {_R}, k AS (SELECT file_id, record_no, max(CAST(segment = 0 AS INT)) AS h1, max(CAST(segment = 1 AS INT)) AS h2 FROM r
             WHERE file_id IN (SELECT file_id FROM r WHERE segment = 1) AND segment IN (0, 1) GROUP BY file_id, record_no)

@@ -11,7 +11,8 @@ from __future__ import annotations
 import gzip
 import json
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from typing import BinaryIO
@@ -28,6 +29,9 @@ from . import files
 #: Bytes of a split, read at once, and records of a batch.
 SPLIT_BYTES, CHUNK_BYTES, BATCH_RECORDS = 64 << 20, 4 << 20, 8192
 
+#: Ranges whose line feeds the driver counts at a time, and tasks that put parts together.
+THREADS, MOST_TASKS = 8, 1024
+
 TRUNCATED = "unexpected end of file: a record is cut off"
 
 _RECORDS = pa.schema([("record_no", pa.int64()), ("segment", pa.int32()), *[(name, pa.string()) for name in LINES]])
@@ -166,7 +170,10 @@ class FastqReader(DataSourceReader):
 
     def partitions(self) -> list[FastqSplit]:
         ranges = ranges_of(self.path, self.split_bytes)
-        feeds = self.feeds or ([count_feeds(self.path, *r) for r in ranges] if len(ranges) > 1 else [0])
+        feeds = self.feeds
+        if feeds is None:  # read_fastq() has them counted by tasks; loaded by the format's name alone, the driver counts
+            with ThreadPoolExecutor(THREADS) as pool:
+                feeds = list(pool.map(lambda r: count_feeds(self.path, *r), ranges)) if len(ranges) > 1 else [0]
         return plan_splits(self.path, ranges, feeds)
 
     def read(self, split: FastqSplit) -> Iterator[pa.RecordBatch]:
@@ -177,16 +184,21 @@ class FastqReader(DataSourceReader):
 class WrittenPart(WriterCommitMessage):
     part: int
     path: str | None
+    size: int = 0
 
 
 class FastqWriter(DataSourceArrowWriter):
     """Each task writes a part beside the target; the commit joins them in order.
 
-    Parts of a compressed file are gzip members, which follow each other validly.
+    Parts of a compressed file are gzip members, which follow each other validly.  With
+    the option ``parts`` the target is a folder: its parts stay, and the commit writes
+    their order and sizes to MANIFEST, without which the folder isn't complete.
     """
 
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
+        self.parts = options.get("parts", "false").lower() == "true"
+        self.gzip = files.is_gzip(options.get("as", self.path))
         self.run = uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WrittenPart:
@@ -194,14 +206,17 @@ class FastqWriter(DataSourceArrowWriter):
 
         context = TaskContext.get()
         part = context.partitionId()
-        path = f"{self.path}.{self.run}.{part}.{context.taskAttemptId()}"
+        name = f"{self.run}.{part}.{context.taskAttemptId()}"
+        path = f"{self.path}/{name}" if self.parts else f"{self.path}.{name}"
         out = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
+                if self.parts:
+                    files.make_folder(self.path)
                 stored = files.open_new(path)
-                out = gzip.GzipFile(fileobj=stored, mode="wb", mtime=0) if files.is_gzip(self.path) else stored
+                out = gzip.GzipFile(fileobj=stored, mode="wb", mtime=0) if self.gzip else stored
             rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in LINES))
             out.write("".join(f"{a}\n{b}\n{c}\n{d}\n" for a, b, c, d in rows).encode("latin-1"))
         if out is None:
@@ -209,19 +224,18 @@ class FastqWriter(DataSourceArrowWriter):
         out.close()
         if out is not stored:
             stored.close()
-        return WrittenPart(part, path)
+        return WrittenPart(part, path, files.size(path))
 
     def commit(self, messages: list[WrittenPart | None]) -> None:
-        with files.open_new(self.path) as target:
-            parts = sorted((m for m in messages if m and m.path), key=lambda m: m.part)
-            for message in parts:
-                with files.open_stored(message.path) as source:
-                    while data := source.read(CHUNK_BYTES):
-                        target.write(data)
-            if not parts and files.is_gzip(self.path):
-                target.write(gzip.compress(b"", mtime=0))
-        for message in parts:
-            files.remove(message.path)
+        parts = sorted((m for m in messages if m and m.path), key=lambda m: m.part)
+        if self.parts:
+            files.make_folder(self.path)
+            with files.open_new(f"{self.path}/{MANIFEST}") as f:
+                f.write(json.dumps([[m.path, m.size] for m in parts]).encode())
+            return
+        join_parts([m.path for m in parts], self.path, self.gzip)
+        for m in parts:
+            files.remove(m.path)
 
     def abort(self, messages: list[WrittenPart | None]) -> None:
         for message in messages:
@@ -229,11 +243,32 @@ class FastqWriter(DataSourceArrowWriter):
                 files.remove(message.path)
 
 
+#: Names the parts of a folder in order, each with its size.
+MANIFEST = "_parts.json"
+
+
+def join_parts(parts: list[str], target: str, compressed: bool) -> None:
+    """Puts the parts together beside the target, which is replaced in one step; on a failure it stays as it was, and the parts stay."""
+    beside = f"{target}.{uuid.uuid4().hex}.new"
+    try:
+        with files.open_new(beside) as out:
+            for part in parts:
+                with files.open_stored(part) as source:
+                    while data := source.read(CHUNK_BYTES):
+                        out.write(data)
+            if not parts and compressed:
+                out.write(gzip.compress(b"", mtime=0))
+        files.replace(beside, target)
+    finally:
+        files.remove(beside)
+
+
 class FastqSource(DataSource):
     """``spark.read.format("fastq").load(path)`` and ``df.write.format("fastq").mode("append").save(path)``.
 
     Options: segment, splitBytes, strict (false: a cut-off record at the end is left
-    out), lineFeeds (of each split, where they're known already).
+    out), lineFeeds (of each split, where they're known already); for writing, parts (true:
+    a folder of ordered parts) and as (a name whose extension tells whether to compress).
     """
 
     @classmethod
@@ -288,15 +323,63 @@ def read_segments(spark: SparkSession, paths: list[str], **options) -> DataFrame
     return reduce(DataFrame.unionByName, [read_fastq(spark, p, i, **options) for i, p in enumerate(paths)])
 
 
-def write_fastq(reads: DataFrame, path: str) -> None:
-    """Writes one file in order of record_no: definition, sequence, plus line and quality, each with a line feed.
+def write_parts(reads: DataFrame, folder: str, compressed: bool = False) -> list[tuple[str, int]]:
+    """Writes a folder of parts in order of record_no, each a FASTQ file of its own; gives their paths and sizes in order.
 
-    A range partitioning gives each task a stretch of records, so no task holds the
-    file.  Nothing appears at ``path`` before all parts are there.
+    For outputs too large for one file: nothing is copied.  A range partitioning gives
+    each task a stretch of records, so no task holds the file.
     """
     register(reads.sparkSession)
     ordered = reads.select("record_no", "segment", *LINES).repartitionByRange("record_no").sortWithinPartitions("record_no")
-    ordered.write.format("fastq").mode("append").save(path)
+    ordered.write.format("fastq").mode("append").option("parts", "true").option("as", "x.gz" if compressed else "x").save(folder)
+    with files.open_stored(f"{folder}/{MANIFEST}") as f:
+        return [tuple(x) for x in json.loads(f.read())]
+
+
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """Writes one file in order of record_no: definition, sequence, plus line and quality, each with a line feed.
+
+    Tasks write parts, and tasks put them together beside the target: on a local or
+    mounted file system all at once, each part at its place, elsewhere by one task that
+    reads them in turn.  Then the target is replaced in one step.  Whatever fails before
+    leaves it as it was.
+    """
+    spark, run = reads.sparkSession, uuid.uuid4().hex
+    folder, beside, compressed = f"{path}.{run}.parts", f"{path}.{run}.new", files.is_gzip(path)
+    try:
+        parts = write_parts(reads, folder, compressed)
+        if not parts:
+            with files.open_new(beside) as f:
+                f.write(gzip.compress(b"", mtime=0) if compressed else b"")
+        elif files.is_local(path):
+            files.reserve(beside, sum(size for _, size in parts))
+            places = [sum(size for _, size in parts[:i]) for i in range(len(parts))]
+            _in_tasks(spark, [(p, at) for (p, _), at in zip(parts, places)], "part string, at long", lambda row: _copy_to(row[0], beside, row[1]))
+        else:
+            paths = [p for p, _ in parts]
+            _in_tasks(spark, [(beside,)], "target string", lambda row: join_parts(paths, row[0], compressed))
+        files.replace(beside, path)
+    finally:
+        files.remove(beside)
+        files.remove_folder(folder)
+
+
+def _copy_to(part: str, target: str, at: int) -> None:
+    with files.open_stored(part) as source, files.open_at(target, at) as out:
+        while data := source.read(CHUNK_BYTES):
+            out.write(data)
+
+
+def _in_tasks(spark: SparkSession, rows: list[tuple], schema: str, work: Callable[[tuple], None]) -> None:
+    """Has each row worked on by a task, and waits; a task that is tried again does the same once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                work(row)
+                yield pa.RecordBatch.from_pydict({"done": [1]})
+
+    spark.createDataFrame(rows, schema).repartition(min(len(rows), MOST_TASKS)).mapInArrow(run, "done long").count()
 
 
 def write_segments(reads: DataFrame, paths: list[str]) -> None:

@@ -10,6 +10,10 @@ from pyarrow import fs
 
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it; a path without a scheme is local."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    if path.startswith("s3a://"):
+        path = "s3" + path.removeprefix("s3a")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -51,8 +55,44 @@ def open_new(path: str) -> BinaryIO:
     return system.open_output_stream(inner, compression=None)
 
 
+def is_local(path: str) -> bool:
+    """Whether a path is in a file system of the machine, where any place of a file can be written."""
+    return isinstance(resolve(path)[0], fs.LocalFileSystem)
+
+
+def open_at(path: str, place: int) -> BinaryIO:
+    """A local file that exists, to be written from a place on."""
+    f = open(resolve(path)[1], "r+b")
+    f.seek(place)
+    return f
+
+
+def reserve(path: str, size: int) -> None:
+    """A new local file of so many bytes, to be written by several tasks at once."""
+    with open(resolve(path)[1], "wb") as f:
+        f.truncate(size)
+
+
+def replace(path: str, target: str) -> None:
+    """Puts a file in the place of another, or of none, in one step where the file system can."""
+    system, inner = resolve(path)
+    system.move(inner, resolve(target)[1])
+
+
 def remove(path: str) -> None:
     """Deletes a file if it's there."""
     system, inner = resolve(path)
     if system.get_file_info(inner).type == fs.FileType.File:
         system.delete_file(inner)
+
+
+def make_folder(path: str) -> None:
+    system, inner = resolve(path)
+    system.create_dir(inner, recursive=True)
+
+
+def remove_folder(path: str) -> None:
+    """Deletes a folder with all it holds, if it's there."""
+    system, inner = resolve(path)
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        system.delete_dir(inner)

@@ -22,11 +22,7 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     compressed, whatever its extension, and must be UTF-8.
     """
     if path.lower().endswith((".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate")):
-        # Spark would decompress by extension; a list is small enough to be one task's file.
-        with files.open_stored(path) as f:
-            lines = f.read().split(b"\n")
-        rows = [(bytes(x),) for x in (lines[:-1] if lines and not lines[-1] else lines)]
-        raw = spark.createDataFrame(rows, "value binary")
+        raw = _stored_lines(spark, path)  # Spark's reader would decompress by extension
     else:
         raw = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"))
     valid = F.is_valid_utf8(F.col("value").cast("string"))
@@ -34,6 +30,24 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace(checked, r"\r\z", "").alias("name")).distinct()
 
 
+def _stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``(value,)``: the lines of a file's stored bytes, read as a stream by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stored in batch.column(0).to_pylist():
+                held = b""
+                with files.open_stored(stored) as f:
+                    while data := f.read(CHUNK_BYTES):
+                        lines = (held + data).split(b"\n")
+                        held = lines.pop()
+                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["value"])
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([held], pa.binary())], names=["value"])
+
+    return spark.createDataFrame([(path,)], "path string").mapInArrow(run, "value binary")
+
+
 def read_log(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows ``(path, line_no, line_text)``: the records of lint logs, for parse_lines().
 

@@ -165,3 +165,63 @@ def test_subsample_command(run):
         assert code == 1 and said in err and not at("x").exists()
     with pytest.raises(SystemExit):
         run("subsample", "-p", "1.0", "--r1-dst", "x", "i")
+
+
+def test_a_failed_commit_leaves_the_old_file(spark, tmp_path, monkeypatch):
+    old = tmp_path / "y.fq"
+    old.write_bytes(A)
+    names = lambda: sorted(f.name for f in tmp_path.iterdir())
+    parts = []
+    for i, data in enumerate((B, C)):
+        (tmp_path / f"part{i}").write_bytes(data)
+        parts.append(fastq.WrittenPart(i, str(tmp_path / f"part{i}"), len(data)))
+    (tmp_path / "part1").unlink()
+    with pytest.raises(FileNotFoundError):
+        fastq.FastqWriter({"path": str(old)}, True).commit(parts)
+    assert old.read_bytes() == A and names() == ["part0", "y.fq"]
+    (tmp_path / "part1").write_bytes(C)
+    fastq.FastqWriter({"path": str(old)}, True).commit(parts[::-1])
+    assert old.read_bytes() == B + C and names() == ["y.fq"]
+    df = fastq.read_fastq(spark, str(old)).repartition(3)
+    monkeypatch.setattr(fastq, "_in_tasks", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        fastq.write_fastq(df.where("record_no = 0"), str(old))
+    assert old.read_bytes() == B + C and names() == ["y.fq"]
+
+
+def test_writes_where_places_cannot_be_chosen(spark, tmp_path, monkeypatch):
+    df = fastq.read_fastq(spark, str(_file(tmp_path, "x.fq", A + B + C)))
+    monkeypatch.setattr(files, "is_local", lambda path: False)
+    fastq.write_fastq(df.repartition(2), str(tmp_path / "y.fq"))
+    assert (tmp_path / "y.fq").read_bytes() == A + B + C and sorted(f.name for f in tmp_path.iterdir()) == ["x.fq", "y.fq"]
+
+
+def _file(folder, name, data):
+    (folder / name).write_bytes(data)
+    return folder / name
+
+
+def test_parts_in_order(spark, tmp_path):
+    data, want = mixed(300)
+    df = fastq.read_fastq(spark, str(_file(tmp_path, "x.fq", data)))
+    for compressed in (False, True):
+        parts = fastq.write_parts(df.repartition(4), str(tmp_path / f"parts{compressed}"), compressed)
+        read = gzip.decompress if compressed else bytes
+        from pathlib import Path
+
+        assert b"".join(read(Path(p).read_bytes()) for p, _ in parts) == data.replace(b"\r", b"") and all(Path(p).stat().st_size == n for p, n in parts)
+
+
+def test_loaded_by_the_name_of_the_format(spark, tmp_path):
+    data, want = mixed(300)
+    fastq.register(spark)
+    assert rows(spark.read.format("fastq").option("splitBytes", 5000).load(str(_file(tmp_path, "x.fq", data)))) == want
+
+
+def test_lint_tells_its_totals(run, caplog):
+    with caplog.at_level("INFO", "strandmill"):
+        run("--verbose", "lint", "--lint-mode", "log", run.at("bad.fq"))
+        run("lint", run.at("1.fq"), run.at("2.fq"))
+    assert [r.getMessage() for r in caplog.records if "record_count" in r.getMessage()] == [
+        "validate_single pass 1: record_count=2 failure_count=2", "validate_pair pass 1: record_count=3 failure_count=0", "validate_pair pass 2: record_count=3 failure_count=0",
+    ]
