@@ -237,7 +237,7 @@ def exact_repeats(asked: DataFrame, df: DataFrame, key_col: str, order_cols: lis
     keys = asked.select("_key").distinct()
     rows = _asked(df, key_col, order_cols).select(_key(key_col).alias("_key"), order.alias("_order"))
     marked = asked.select(F.xxhash64("_key").alias("_hash"))
-    in_question = may_match(rows, F.xxhash64("_key"), marked, "_hash").join(keys, "_key", "left_semi")
+    in_question = may_match(rows, F.xxhash64("_key"), marked, "_hash").join(keys, "_key")  # a semi join would be pushed below the map
     firsts = in_question.groupBy("_key").agg(F.min("_order").alias("_first"))
     return asked.join(firsts, "_key", "left").select(*order_cols, (order <= F.col("_first")).alias("wrong"))
 
