@@ -26,6 +26,9 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words a worker remembers before it starts afresh, and the length from which words aren't remembered.
 MEMO_WORDS, MEMO_LENGTH = 600_000, 400
 
+#: Numbers from here on are of words that aren't remembered.
+LONG = 1 << 30
+
 #: Characters handled at once, to bound the working arrays.
 CHUNK_CHARS = 1 << 20
 
@@ -233,16 +236,15 @@ class ByteBpe:
         if stop > len(self.memo_start):
             size = max(stop, 2 * len(self.memo_start))
             self.memo_start, self.memo_length = np.resize(self.memo_start, size), np.resize(self.memo_length, size)
-        if self.memo_used + len(flat) > len(self.memo_tokens):
-            self.memo_tokens = np.resize(self.memo_tokens, max(self.memo_used + len(flat), 2 * len(self.memo_tokens)))
+        self._room(len(flat))
         self.memo_start[first:stop] = self.memo_used + np.cumsum(lengths) - lengths
         self.memo_length[first:stop] = lengths
         self.memo_tokens[self.memo_used : self.memo_used + len(flat)] = flat
         self.memo_used += len(flat)
         self.memo.added = []
 
-    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The memo's numbers of all words, and the first word of each text (and the end)."""
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's tokens lie in memo_tokens, how many they are, and the first word of each text (and the end)."""
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -257,19 +259,32 @@ class ByteBpe:
             map(self.memo.__getitem__, (joined[a:b] for a, b in zip(cuts, cuts[1:]))), dtype=np.int32, count=len(starts)
         )
         self._learn(first)
-        return numbers, np.concatenate([[0], np.searchsorted(starts, ends, side="left")])
+        long = numbers >= LONG
+        known = np.where(long, 0, numbers)
+        at, count = self.memo_start[known], self.memo_length[known].astype(np.int64)
+        if self.memo.long:
+            # Encoded once a group; their tokens lie behind those of the memo until the next group.
+            flat, n = self.encode_words([w.encode() for w in self.memo.long])
+            self._room(len(flat))
+            self.memo_tokens[self.memo_used : self.memo_used + len(flat)] = flat
+            mine = numbers[long] - LONG
+            at[long], count[long] = (self.memo_used + np.cumsum(n) - n)[mine], n[mine]
+            self.memo.long = {}
+        return at, count, np.concatenate([[0], np.searchsorted(starts, ends, side="left")])
+
+    def _room(self, tokens: int) -> None:
+        if self.memo_used + tokens > len(self.memo_tokens):
+            self.memo_tokens = np.resize(self.memo_tokens, max(self.memo_used + tokens, 2 * len(self.memo_tokens)))
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts end to end, and the offsets where each begins (one more than texts)."""
         values, counts = [], []
         for group in _groups(texts):
-            numbers, bounds = self._words(group)
-            lengths = self.memo_length[numbers].astype(np.int64)
+            at, lengths, bounds = self._words(group)
             before = np.concatenate([[0], np.cumsum(lengths)])
-            shift = np.repeat(self.memo_start[numbers] - before[:-1], lengths)
+            shift = np.repeat(at - before[:-1], lengths)
             values.append(self.memo_tokens[np.arange(before[-1]) + shift])
             counts.append(np.diff(before[bounds]))
-            self._trim()
         offsets = np.concatenate([[0], *[np.asarray(c) for c in counts]]).cumsum()
         return np.concatenate(values) if values else np.empty(0, dtype=np.int32), offsets.astype(np.int64)
 
@@ -277,30 +292,28 @@ class ByteBpe:
         """How many tokens each text has."""
         counts = []
         for group in _groups(texts):
-            numbers, bounds = self._words(group)
-            before = np.concatenate([[0], np.cumsum(self.memo_length[numbers].astype(np.int64))])
-            counts.append(np.diff(before[bounds]))
-            self._trim()
+            _, lengths, bounds = self._words(group)
+            counts.append(np.diff(np.concatenate([[0], np.cumsum(lengths)])[bounds]))
         return np.concatenate(counts) if counts else np.empty(0, dtype=np.int64)
 
-    def _trim(self) -> None:
-        if self.memo.long:
-            self._forget()
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """The bytes that the tokens stand for."""
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class _Memo(dict):
-    """Numbers words as they come; ``added`` are those not encoded yet."""
+    """Numbers words as they come; ``added`` are those not encoded yet, ``long`` those of this group that it doesn't keep."""
 
     def __init__(self):
         super().__init__()
         self.added: list[str] = []
-        self.long = False
+        self.long: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
+        if len(word) > MEMO_LENGTH:
+            return LONG + self.long.setdefault(word, len(self.long))
         number = self[word] = len(self)
         self.added.append(word)
-        if len(word) > MEMO_LENGTH:
-            self.long = True
         return number
 
 

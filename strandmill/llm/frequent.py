@@ -8,9 +8,14 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import keep
+
 #: Independent hashes, and buckets of each for every value that could reach the share.
 HASHES, ROOM = 4, 16
 
+#: Buckets of a hash that may reach the threshold: rows of 4 bytes sent to every task.
+MOST_HEAVY = 1_000_000
+
 
 def _bucket(column: Column, hash_no: int, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(hash_no), column), F.lit(buckets)).cast("int")
@@ -38,29 +43,29 @@ def frequent_values(df: DataFrame, column: str, share: float, hashes: int = HASH
     """Values that make up at least ``share`` of the rows whose value is neither null nor empty.
 
     Returns ``(column, n, share)``; the counts are exact and no such value is missed:
-    a value's bucket holds at least as many rows as the value.  The driver gets
-    ``hashes * room / share`` counters at most; then at most ``1 / share`` buckets of a
-    hash reach the threshold, so the second scan's filter is as small.  Only the
-    survivors are counted, pre-aggregated before their shuffle, so a hot value costs
+    a value's bucket holds at least as many rows as the value.  At most ``1 / share``
+    buckets of a hash reach the threshold, and these are all that is broadcast; a share
+    below 1 / MOST_HEAVY is an error.  The driver gets one number, the rows in all.  Only
+    the survivors are counted, pre-aggregated before their shuffle, so a hot value costs
     one row a task.  An empty table gives no rows; ties at the threshold are kept.
     """
     if not 0 < share <= 1:
         raise ValueError(f"share must be in (0, 1], got {share}")
+    if share * MOST_HEAVY < 1:
+        raise ValueError(f"a share below {1 / MOST_HEAVY:g} would broadcast too much, got {share}")
     exact = Fraction(str(share))
     buckets = 1 << max(8, math.ceil(math.log2(room / share)))
-    cells = coarse_counts(df, column, buckets, hashes).collect()  # hashes * buckets rows at most
-    total = sum(r.n for r in cells if r.hash_no == 0)
-    heavy: list[list[int]] = [[] for _ in range(hashes)]
-    for r in cells:
-        if r.n * exact.denominator >= exact.numerator * total:
-            heavy[r.hash_no].append(r.bucket)
+    cells = keep(coarse_counts(df, column, buckets, hashes), "cells")  # hashes * buckets rows at most
+    total = cells.where("hash_no = 0").agg(F.sum("n")).first()[0] or 0
+    reaches = F.col("n") * exact.denominator >= F.lit(exact.numerator * total)
     value = F.col(column)
     left = df.select(column).where(value.isNotNull() & (value != ""))
     for j in range(hashes):
-        left = left.where(_bucket(value, j, buckets).isin(heavy[j])) if heavy[j] else left.where(F.lit(False))
+        heavy = cells.where((F.col("hash_no") == j) & reaches).select(F.col("bucket").alias("_heavy"))
+        left = left.join(F.broadcast(heavy), _bucket(value, j, buckets) == F.col("_heavy"), "left_semi")
     return (
         left.groupBy(column)
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") * exact.denominator >= F.lit(exact.numerator * total))
+        .where(reaches)
         .select(column, "n", (F.col("n") / F.lit(float(max(total, 1)))).alias("share"))
     )

@@ -12,22 +12,14 @@ from pyspark.sql import types as T
 
 from ..plans.runtime import keep
 
-_RUN = T.StructType([
-    T.StructField("g", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-])
-_SORTED = T.StructType([*_RUN.fields, T.StructField("part", T.IntegerType()), T.StructField("upto", T.LongType())])
-
-
 def value_counts(df: DataFrame, value_col: str, keys: list[str]) -> DataFrame:
     """Rows ``(g, value, n)``: the partial result, one row per group and distinct value.
 
-    ``g`` is the group's keys as JSON (a null key is a key of its own).  Null and NaN
+    ``g`` is a struct of the group's keys (a null key is a key of its own).  Null and NaN
     values are left out; negative zero counts as zero.
     """
     value = F.col(value_col).cast("double")
-    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("{}")
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
     return (
         df.where(value.isNotNull() & ~F.isnan(value))
         .select(group.alias("g"), (value + F.lit(0.0)).alias("value"))
@@ -52,19 +44,22 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        codes = batch.column(0).dictionary_encode()
-        index = codes.indices.to_numpy(zero_copy_only=False)
+        keys = batch.column(0).flatten()
+        new = np.zeros(batch.num_rows - 1, dtype=bool)
+        for key in keys:
+            codes = key.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            new |= codes[1:] != codes[:-1]
         n = batch.column(2).to_numpy(zero_copy_only=False)
         total = np.cumsum(n)
-        first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], new]))
         base = np.concatenate([[0], total])[first]
-        if codes.dictionary[int(index[0])].as_py() == group:
+        if tuple(k[0].as_py() for k in keys) == group:
             base[0] -= before
         upto = total - np.repeat(base, np.diff(np.append(first, len(n))))
-        group, before = codes.dictionary[int(index[-1])].as_py(), int(upto[-1])
+        group, before = tuple(k[-1].as_py() for k in keys), int(upto[-1])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(upto, pa.int64())],
-            names=[f.name for f in _SORTED],
+            names=["g", "value", "n", "part", "upto"],
         )
 
 
@@ -80,10 +75,13 @@ def percentiles_of_counts(counts: DataFrame, percentages: list[float]) -> DataFr
     for p in percentages:
         if not 0 <= p <= 1:
             raise ValueError(f"a percentage must be in [0, 1], got {p}")
+    with_place = T.StructType([
+        counts.schema["g"], T.StructField("value", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("upto", T.LongType()),
+    ])
     # Written once: partition numbers must mean the same rows in each later use.
     ordered = keep(
         counts.select("g", "value", F.col("n").cast("long").alias("n"))
-        .repartitionByRange("g", "value").sortWithinPartitions("g", "value").mapInArrow(_running, _SORTED),
+        .repartitionByRange("g", "value").sortWithinPartitions("g", "value").mapInArrow(_running, with_place),
         "sorted",
     )
     parts = ordered.groupBy("g", "part").agg(F.max("upto").alias("rows"))
@@ -132,7 +130,4 @@ def percent_name(p: float) -> str:
 def percentiles(df: DataFrame, value_col: str, keys: list[str], percentages: list[float]) -> DataFrame:
     """Rows ``(*keys, n_values, p_50, ...)`` per group, exact.  A group without usable values has no row."""
     found = percentiles_of_counts(value_counts(df, value_col, keys), percentages)
-    if not keys:
-        return found.drop("g")
-    schema = T.StructType([df.schema[k] for k in keys])
-    return found.withColumn("g", F.from_json("g", schema)).select(*[F.col(f"g.{k}").alias(k) for k in keys], *[c for c in found.columns if c != "g"])
+    return found.select(*[F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys)], *[c for c in found.columns if c != "g"])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import table
+from ..plans.runtime import keep, table
 from . import distinct, frequent, mixing, percentiles, sampling, seen, spans, tokens
 
 COMBINATIONS = [
@@ -72,6 +72,19 @@ def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("run_day", F.date_format("run_day", "yyyy-MM-dd"))
 
 
+def p3_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of instruments from partial results, one for each third of the days, stored and merged."""
+    reads, keys = table(spark, d, "fastq_reads"), ["instrument_id"]
+    parts = [keep(distinct.distinct_pairs(part, ["name", "sequence"], keys), "pairs") for part in _thirds(reads)]
+    return distinct.count_groups(distinct.merge_pairs(parts, keys), keys)
+
+
+def _thirds(rows: DataFrame) -> list[DataFrame]:
+    """Rows in three pieces by day; those without a day are in the first."""
+    third = F.coalesce(F.pmod(F.dayofmonth("run_day"), F.lit(3)), F.lit(0))
+    return [rows.where(third == i) for i in range(3)]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = percentiles.percentiles(table(spark, d, "position_sums"), "error_probability_sum", ["run_day", "instrument_id"], [0.5, 0.9])
     return found.where("n_values >= 30 and p_90 >= 5 * p_50").select(_day(), "instrument_id")
@@ -90,10 +103,26 @@ def p4_by_position(spark: SparkSession, d: str) -> DataFrame:
     return _p4(spark, d, "pos_no")
 
 
+def p4_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of all values from partial results, one for each third of the days, stored and merged."""
+    parts = [keep(percentiles.value_counts(part, "error_probability_sum", ["instrument_id"]), "counts") for part in _thirds(table(spark, d, "position_sums"))]
+    found = percentiles.percentiles_of_counts(percentiles.merge_counts(parts), PERCENTAGES)
+    return found.select(F.col("g.k0").alias("instrument_id"), "n_values", *[c for c in found.columns if c.startswith("p_")])
+
+
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.subsample_files(table(spark, d, "fastq_reads"), table(spark, d, "subsample_args"))
 
 
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Of each job, the records drawn, how often the most drawn one was, and whether all rows are of its file."""
+    drawn = p5_sample(spark, d)
+    reads = table(spark, d, "fastq_reads").select("read_id", F.col("file_id").alias("_file"), F.col("record_no").alias("_record"), F.col("segment").alias("_segment"))
+    own = (F.col("file_id") == F.col("_file")) & (F.col("record_no") == F.col("_record")) & (F.col("segment") == F.col("_segment"))
+    checked = drawn.join(reads, "read_id", "left").groupBy("job_id", "read_id").agg(F.count(F.lit(1)).alias("times"), F.first("record_no").alias("record_no"), F.min(F.coalesce(own, F.lit(False))).alias("own"))
+    return checked.groupBy("job_id").agg(F.countDistinct("record_no").alias("records"), F.max("times").alias("most_times"), F.min("own").alias("of_its_file"))
+
+
 def p5_refused(spark: SparkSession, d: str) -> DataFrame:
     return sampling.refused_jobs(table(spark, d, "subsample_args"), table(spark, d, "fastq_reads"))
 
@@ -102,6 +131,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_column(_documents(spark, d))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Each text from its token ids again, as a digest of its bytes."""
+    decoded = tokens.decode_column(tokens.encode_column(_documents(spark, d)))
+    return decoded.select("doc_id", F.md5("bytes").alias("digest"), F.length("bytes").cast("long").alias("n_bytes"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, d), table(spark, d, "mix_targets"))
 
@@ -110,6 +145,28 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_shares_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target: whether the share reached is within 0.02 of its own (of those with documents), and whether no document is used too often."""
+    return _checked(p8_shares(spark, d), F.col("target_share") / F.sum(F.when(F.col("available_tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(0))))
+
+
+def p8_whole_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target of the mix of all tokens: whether it gives its share, or all it may if that is less."""
+    report = p8_shares_whole(spark, d)
+    return report.select(
+        "source", "target_share", "max_repeats",
+        F.when(F.col("short"), F.col("tokens") == F.col("available_tokens") * F.col("max_repeats")).otherwise(F.col("tokens") >= F.col("wanted_tokens") * 0.99).alias("met"),
+        (F.col("most_uses") <= F.col("max_repeats")).alias("uses_kept"),
+    )
+
+
+def _checked(report: DataFrame, share: F.Column) -> DataFrame:
+    expected = F.when(F.col("available_tokens") > 0, share).otherwise(F.lit(0.0))
+    return report.select(
+        "source", "target_share", "max_repeats", (F.abs(F.col("reached_share") - expected) < 0.02).alias("met"), (F.col("most_uses") <= F.col("max_repeats")).alias("uses_kept")
+    )
+
+
 def p8_mix_whole(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_whole(_documents(spark, d), table(spark, d, "mix_targets"))
 
@@ -142,8 +199,8 @@ def p9_by_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_error_rate, p1_rate_checked, p1_by_day, p2_found, p2_counts, p3_found, p3_distinct, p4_found, p4_by_instrument, p4_by_position,
-        p5_sample, p5_refused, p7_ids, p8_mix, p8_shares, p8_mix_whole, p8_shares_whole, p9_found, p9_shared, p9_classes, p9_by_batch,
+        p1_found, p1_error_rate, p1_rate_checked, p1_by_day, p2_found, p2_counts, p3_found, p3_distinct, p3_merged, p4_found, p4_by_instrument, p4_by_position, p4_merged,
+        p5_sample, p5_counts, p5_refused, p7_ids, p7_decoded, p8_mix, p8_shares, p8_shares_checked, p8_whole_checked, p8_mix_whole, p8_shares_whole, p9_found, p9_shared, p9_classes, p9_by_batch,
     )}
 
 
@@ -229,6 +286,23 @@ def oracle_sql() -> dict[str, str]:
             WHERE error_probability_sum IS NOT NULL AND NOT isnan(error_probability_sum) GROUP BY ALL
             HAVING count(*) >= 30 AND quantile_cont(error_probability_sum, 0.9) >= 5 * quantile_cont(error_probability_sum, 0.5)
         """,
+        "p3_merged": f"""
+            SELECT instrument_id, field, count(*) AS n_values, count(DISTINCT v) AS n_distinct FROM {_PAIRS} WHERE v IS NOT NULL AND v <> '' GROUP BY ALL
+        """,
+        "p4_merged": _quantiles("instrument_id"),
+        "p5_counts": """
+            SELECT job_id, least(record_count, records) AS records, CAST(1 AS BIGINT) AS most_times, true AS of_its_file FROM subsample_args
+            JOIN (SELECT file_id, count(DISTINCT record_no) AS records FROM fastq_reads WHERE record_no IS NOT NULL GROUP BY file_id) USING (file_id)
+            WHERE record_count > 0 AND probability IS NULL
+        """,
+        "p5_refused": """
+            SELECT job_id, file_id, record_count, probability, CASE WHEN file_id IS NULL THEN 'file' WHEN record_count IS NULL OR record_count < 1 THEN 'count'
+            WHEN probability IS NOT NULL THEN 'both' ELSE 'records' END AS reason FROM subsample_args WHERE file_id IS NULL OR record_count IS NULL OR record_count < 1
+            OR probability IS NOT NULL OR file_id NOT IN (SELECT file_id FROM fastq_reads WHERE file_id IS NOT NULL AND record_no IS NOT NULL)
+        """,
+        "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents",
+        "p8_shares_checked": "SELECT source, target_share, CAST(max_repeats AS BIGINT) AS max_repeats, true AS met, true AS uses_kept FROM mix_targets",
+        "p8_whole_checked": "SELECT source, target_share, CAST(max_repeats AS BIGINT) AS max_repeats, true AS met, true AS uses_kept FROM mix_targets",
         "p4_by_instrument": _quantiles("instrument_id"),
         "p9_found": _SHARED_PAIRS,
         "p9_by_batch": _SHARED_PAIRS,

@@ -62,3 +62,17 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", vocabul
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(counts, pa.int64())], names=[*keep, count_col])
 
     return df.select(*keep, F.col(text_col).alias(count_col)).mapInArrow(run, schema)
+
+
+def decode_column(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+    """Rows ``(id_col, bytes)``: what each row's ``ids`` stand for; an empty or null list stands for no bytes."""
+    shared, key = _vocabulary(encoded, vocabulary)
+    schema = T.StructType([encoded.schema[id_col], T.StructField("bytes", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bpe.encoder(shared.value, key)
+        for batch in batches:
+            texts = [model.decode(x or ()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=schema.names)
+
+    return encoded.select(F.col(id_col), F.col("ids").alias("bytes")).mapInArrow(run, schema)

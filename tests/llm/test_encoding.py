@@ -72,3 +72,17 @@ def test_column(spark, peer):
     assert tokens.encode_column(df.limit(0)).count() == 0
     counts = tokens.count_tokens(df, ["doc_id", "ids"])
     assert sorted(r.n_tokens for r in counts.collect()) == [0, 0, 1, 1, 2]
+
+
+def test_long_words_leave_the_memo_alone():
+    model = bpe.ByteBpe(bpe.read_vocabulary()[0])
+    long = ["漢字かな" * 150, "x" * 500 + " short", "x" * 500, "base64" * 100]
+    texts = [f"some words {i} {long[i % 4]} and {long[(i + 1) % 4]}" for i in range(40)]
+    values, offsets = model.encode_texts(texts)
+    words = len(model.memo)
+    assert [values[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == bpe.encode_all(texts)
+    assert words > 40 and not model.memo.long and all(len(w) <= bpe.MEMO_LENGTH for w in model.memo)
+    again, _ = model.encode_texts(texts)
+    assert (again == values).all() and len(model.memo) == words
+    assert [model.decode(values[a:b].tolist()).decode() for a, b in zip(offsets, offsets[1:])] == texts
+    assert model.count_texts(texts).tolist() == np.diff(offsets).tolist()

@@ -138,8 +138,9 @@ def test_frequent_values(spark):
         assert {r.s: r.n for r in frequent.frequent_values(df, "s", share).collect()} == {v: c for v, c in real.items() if c >= share * total}
     assert frequent.frequent_values(df.limit(0), "s", 0.1).count() == 0
     assert {r.s for r in frequent.frequent_values(spark.createDataFrame([("x",), ("y",)], "s string"), "s", 0.5).collect()} == {"x", "y"}
-    with pytest.raises(ValueError):
-        frequent.frequent_values(df, "s", 0)
+    for share in (0, 1e-7):
+        with pytest.raises(ValueError):
+            frequent.frequent_values(df, "s", share)
 
 
 def test_distinct_counts(spark):
