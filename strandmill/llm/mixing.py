@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import keep
+from ..plans.runtime import keep, shuffle_partitions
 from .tokens import count_tokens
 
-#: Tokens a block holds on average and the most blocks a source has (blocks grow beyond); tokens an output shard holds, and the most shards.
-BLOCK_TOKENS, MOST_BLOCKS, SHARD_TOKENS, MOST_SHARDS = 200_000, 65_536, 2_000_000, 8192
+#: Tokens a block and an output shard hold on average; there are as many as that takes.
+BLOCK_TOKENS, SHARD_TOKENS = 200_000, 2_000_000
+
+#: Parts of the splitting tree that tasks go on with; the driver splits no further.
+SUBTREES = 256
+
+#: Cells of a running sum over one group, as a power of two: rows of a window, whatever the group's size.
+CELL_BITS = 10
 
 #: Rows the table of targets may have; it is read by the driver.
 MOST_SOURCES = 10_000
@@ -46,32 +54,97 @@ def quotas(shares: dict[str, float], capacity: dict[str, float], total: float |
     return out
 
 
-def split_blocks(blocks: dict[str, int], shards: int, seed: int = 0) -> dict[str, np.ndarray]:
-    """How many of each source's blocks every shard gets: a splitting tree of multivariate hypergeometric draws.
+def split_node(first: int, last: int, have: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Deals blocks of all sources to the two halves of the shards from ``first`` to ``last``.
 
-    At each node the blocks of all sources are dealt to two halves of the shards in
-    proportion to their numbers; how many of each source go left is drawn without
-    replacement.  Numbers stay exact: each source's sum over shards is its blocks.
+    In proportion to the halves' numbers of shards; how many of each source go left is a
+    multivariate hypergeometric draw.  The same wherever it is made.
     """
+    middle, total = (first + last) // 2, int(have.sum())
+    share = total * (middle - first)
+    rng = np.random.default_rng([seed & 0xFFFFFFFF, first, last])
+    take = share // (last - first) + int(rng.random() < (share % (last - first)) / (last - first))
+    left = rng.multivariate_hypergeometric(have, take, method="marginals") if 0 < take < total else have * (take >= total > 0)
+    return left, have - left
+
+
+Node = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def split_tree(root: Node, seed: int, leaves: int | None = None) -> list[Node]:
+    """The parts of a splitting tree in order: ``(first shard, last, blocks of each source, blocks of each source before)``.
+
+    Down to single shards, or to the first level that has ``leaves`` parts.  Numbers
+    stay exact: each source's sum over the parts is its blocks.  Parts without blocks
+    are left out.
+    """
+    level = [root]
+    while any(last - first > 1 for first, last, _, _ in level) and (leaves is None or len(level) < leaves):
+        below: list[Node] = []
+        for first, last, have, before in level:
+            if last - first == 1:
+                below.append((first, last, have, before))
+                continue
+            middle = (first + last) // 2
+            left, right = split_node(first, last, have, seed)
+            below += [(first, middle, left, before), (middle, last, right, before + left)]
+        level = [node for node in below if node[2].any()]
+    return level
+
+
+def split_blocks(blocks: dict[str, int], shards: int, seed: int = 0) -> dict[str, np.ndarray]:
+    """How many of each source's blocks every shard gets, in one process."""
     names = sorted(blocks)
+    have = np.array([blocks[n] for n in names], dtype=np.int64)
     out = np.zeros((shards, len(names)), dtype=np.int64)
-
-    def split(first: int, last: int, have: np.ndarray) -> None:
-        if last - first == 1:
-            out[first] = have
-            return
-        middle, total = (first + last) // 2, int(have.sum())
-        share = total * (middle - first)
-        rng = np.random.default_rng([seed & 0xFFFFFFFF, first, last])
-        take = share // (last - first) + int(rng.random() < (share % (last - first)) / (last - first))
-        left = rng.multivariate_hypergeometric(have, take, method="marginals") if 0 < take < total else have * (take >= total > 0)
-        split(first, middle, left)
-        split(middle, last, have - left)
-
-    split(0, shards, np.array([blocks[n] for n in names], dtype=np.int64))
+    for first, _, own, _ in split_tree((0, shards, have, np.zeros_like(have)), seed):
+        out[first] = own
     return {n: out[:, i] for i, n in enumerate(names)}
 
 
+_DEALT = T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("shard", T.IntegerType()), ("first", T.LongType()), ("last", T.LongType()))])
+
+
+def dealt_blocks(spark, blocks: dict[str, int], shards: int, seed: int = 0) -> DataFrame:
+    """Rows ``(source, shard, first, last)``: the ranks of a source's blocks that a shard gets, from 1 on.
+
+    The driver splits the tree into SUBTREES parts, a row of numbers each; tasks split
+    these down to the shards.
+    """
+    names = sorted(blocks)
+    have = np.array([blocks[n] for n in names], dtype=np.int64)
+    parts = split_tree((0, shards, have, np.zeros_like(have)), seed, SUBTREES) if names else []
+    rows = [(first, last, own.tolist(), before.tolist()) for first, last, own, before in parts if own.any()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, own, before in zip(*(c.to_pylist() for c in batch.columns)):
+                for shard, _, own_here, before_here in split_tree((first, last, np.array(own), np.array(before)), seed):
+                    at = np.flatnonzero(own_here)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[i] for i in at]), pa.array(np.full(len(at), shard, dtype=np.int32)), pa.array(before_here[at] + 1), pa.array(before_here[at] + own_here[at])],
+                        names=_DEALT.names,
+                    )
+
+    tree = spark.createDataFrame(rows, "first int, last int, own array<long>, before array<long>")
+    return tree.repartition(max(1, min(len(rows), shuffle_partitions(spark)))).mapInArrow(run, _DEALT)
+
+
+def running_sum(df: DataFrame, keys: list[str], number: str, value: str, into: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over its group's rows before it and its own, by the random 64-bit ``number``.
+
+    Two levels: the group's rows lie in cells by the first bits of the number, whose
+    sums are added up first, so no task has to sort a group.
+    """
+    rows = df.withColumn("_cell", F.shiftright(F.col(number), 64 - CELL_BITS))
+    cells = rows.groupBy(*keys, "_cell").agg(F.sum(value).alias("_sum"))
+    along = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.select(*keys, "_cell", (F.sum("_sum").over(along) - F.col("_sum")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("_inside", F.sum(value).over(inside)).join(cells, [*keys, "_cell"])
+    return summed.withColumn(into, F.col("_before") + F.col("_inside")).drop("_cell", "_before", "_inside")
+
+
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     """The table of targets; a repeated source is an error, null ones are left out."""
     rows = targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
@@ -143,37 +216,32 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: float |
             have = stock[source][1]
             whole = min(int(tokens // have + 1e-9), wanted[source][1])
             rest = max(0.0, tokens - whole * have) if whole < wanted[source][1] else 0.0
-            blocks = max(1, min(MOST_BLOCKS, math.ceil(have / BLOCK_TOKENS)))
+            blocks = max(1, math.ceil(have / BLOCK_TOKENS))
             plan.append((source, whole, float(rest), blocks))
     names = [T.StructField("source", T.StringType())]
     # One row a source: sent to all tasks, at most MOST_SOURCES rows.
-    chosen = F.broadcast(_lookup(spark, plan, [*names, T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType()), T.StructField("blocks", T.IntegerType())]))
+    chosen = F.broadcast(_lookup(spark, plan, [*names, T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType()), T.StructField("blocks", T.LongType())]))
     copies = (
         sized.join(chosen, "source")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("whole"))))
         .where((F.col("copy_no") < F.col("whole")) | (F.col("rest") > 0))
         .withColumn("dice", F.xxhash64(F.lit(seed), F.col("copy_no"), F.col("doc_id"), F.col("source")))
-        .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("dice")), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col("dice")), F.col("blocks")).cast("long"))
     )
-    # Blocks of all copies, in random order within a copy; at most MOST_BLOCKS rows a source and copy.
+    # Blocks of all copies, in random order within a copy: those before the quota, whole or cut; then in random order within the source.
     sums = copies.groupBy("source", "copy_no", "block").agg(F.sum("n_tokens").alias("sum"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source", "copy_no").orderBy(F.xxhash64(F.lit(seed), F.col("block"), F.col("copy_no")), "block")
-    ranked = keep(
-        sums.withColumn("before", F.sum("sum").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum"))
+    sums = sums.withColumns({"order": F.xxhash64(F.lit(seed), "block", "copy_no"), "deal": F.xxhash64(F.lit("deal"), F.lit(seed), "block", "copy_no")})
+    taken = (
+        running_sum(sums, ["source", "copy_no"], "order", "sum", "upto")
+        .withColumn("before", F.col("upto") - F.col("sum"))
         .where((F.col("copy_no") < F.col("whole")) | (F.col("before") < F.col("rest")))
-        .withColumn("left", F.when((F.col("copy_no") < F.col("whole")) | (F.col("before") + F.col("sum") <= F.col("rest")), F.lit(None).cast("double")).otherwise(F.col("rest") - F.col("before")))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit("deal"), F.lit(seed), F.col("block"), F.col("copy_no")), "copy_no", "block")))
-        .select("source", "copy_no", "block", "left", "rank"),
-        "blocks",
+        .withColumn("left", F.when((F.col("copy_no") < F.col("whole")) | (F.col("upto") <= F.col("rest")), F.lit(None).cast("double")).otherwise(F.col("rest") - F.col("before")))
+        .select("source", "copy_no", "block", "left", "deal", F.lit(1).alias("one"))
     )
+    ranked = keep(running_sum(taken, ["source"], "deal", "one", "rank").select("source", "copy_no", "block", "left", "rank"), "blocks")
     counts = {r.source: r["count"] for r in ranked.groupBy("source").count().collect()}  # a row a source
-    shards = max(1, min(MOST_SHARDS, math.ceil(sum(quota.values()) / SHARD_TOKENS)))
-    dealt = []
-    for source, per in split_blocks(counts, shards, seed).items() if counts else ():
-        last = np.cumsum(per)
-        dealt += [(source, shard, int(b - n + 1), int(b)) for shard, (n, b) in enumerate(zip(per, last)) if n]
-    ranges = _lookup(spark, dealt, [*names, T.StructField("shard", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
-    shard_of = ranges.select("source", "shard", F.explode(F.sequence("first", "last")).alias("rank"))
+    shards = max(1, math.ceil(sum(quota.values()) / SHARD_TOKENS))
+    shard_of = dealt_blocks(spark, counts, shards, seed).select("source", "shard", F.explode(F.sequence("first", "last")).alias("rank"))
     placed = ranked.join(shard_of, ["source", "rank"]).select("source", "copy_no", "block", "left", "shard")
     rows = copies.select("doc_id", "source", "copy_no", "n_tokens", "dice", "block").join(placed, ["source", "copy_no", "block"])
     crossing = Window.partitionBy("source", "copy_no", "block").orderBy("dice", "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -29,6 +29,26 @@ def test_splitting_keeps_numbers():
     assert abs(mean - 2.5).max() < 0.4
 
 
+def test_tasks_deal_as_one_process_does(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SUBTREES", 4)
+    blocks, want = {"a": 1000, "b": 37, "c": 0, "d": 1}, defaultdict(list)
+    for source, per in mixing.split_blocks(blocks, 50, 3).items():
+        ends = np.cumsum(per)
+        want |= {(source, shard): (int(e - n + 1), int(e)) for shard, (n, e) in enumerate(zip(per, ends)) if n}
+    assert {(r.source, r.shard): (r.first, r.last) for r in mixing.dealt_blocks(spark, blocks, 50, 3).collect()} == want
+    assert mixing.dealt_blocks(spark, {}, 5).count() == 0
+
+
+def test_running_sums(spark):
+    rows = [(g, i * 7919 * 0x9E3779B97F4A7C15 % 2**64 - 2**63, i) for i in range(500) for g in ("a", "b")]
+    found = mixing.running_sum(spark.createDataFrame(rows, "g string, h long, v long").repartition(3), ["g"], "h", "v", "upto").collect()
+    want, total = {}, Counter()
+    for g, h, v in sorted(rows, key=lambda r: r[1]):
+        total[g] += v
+        want[g, h] = total[g]
+    assert {(r.g, r.h): r.upto for r in found} == want
+
+
 def documents(spark, n=300):
     rng = random.Random(1)
     rows = [(i, "word " * rng.randrange(1, 60), rng.choice(["big"] * 6 + ["small", "mid", "mid", "other", None])) for i in range(n)]
