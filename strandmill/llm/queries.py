@@ -245,12 +245,12 @@ def _frequent(percent: str, columns: str) -> str:
 
 # Every window of 200 characters of every long text, each hashed: nothing is chosen or left out.
 _WINDOWS = """
-    texts AS (SELECT hash(text) AS doc, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200 GROUP BY text),
+    texts AS (SELECT md5_number(text) AS doc, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200 GROUP BY text),
     places AS (SELECT doc, text, unnest(range(length(text) - 199)) AS pos FROM texts),
-    windows AS (SELECT doc, pos, hash(substr(text, pos + 1, 200)) AS w FROM places),
+    windows AS (SELECT doc, pos, md5_number(substr(text, pos + 1, 200)) AS w FROM places),
     common AS (SELECT w FROM windows GROUP BY w HAVING count(DISTINCT doc) > 1),
     hits AS (SELECT doc, pos, w FROM windows WHERE w IN (SELECT w FROM common)),
-    members AS (SELECT doc_id, hash(text) AS doc FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+    members AS (SELECT doc_id, md5_number(text) AS doc FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
     linked AS (SELECT DISTINCT x.doc AS a, y.doc AS b FROM (SELECT DISTINCT doc, w FROM hits) x JOIN (SELECT DISTINCT doc, w FROM hits) y USING (w) WHERE x.doc <> y.doc)
 """
 _SHARED_PAIRS = f"""
@@ -317,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
                 (SELECT doc, pos, lead(pos) OVER (PARTITION BY doc ORDER BY pos) AS following FROM hits) GROUP BY doc),
             told AS (SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(k.class_size, 1) AS class_size, coalesce(length(text), 0) AS n_chars,
                 CAST(CASE WHEN k.class_size > 1 THEN length(text) ELSE coalesce(c.covered, 0) END AS BIGINT) AS shared_chars
-                FROM documents d LEFT JOIN classes k ON d.doc_id IS NOT NULL AND length(text) >= 200 AND k.doc = hash(text) LEFT JOIN cover c ON c.doc = k.doc)
+                FROM documents d LEFT JOIN classes k ON d.doc_id IS NOT NULL AND length(text) >= 200 AND k.doc = md5_number(text) LEFT JOIN cover c ON c.doc = k.doc)
             SELECT *, CASE WHEN n_chars > 0 THEN shared_chars / n_chars ELSE 0.0 END AS shared_share FROM told
         """,
         "p4_by_position": _quantiles("pos_no"),
