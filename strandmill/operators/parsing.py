@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import re
 import sys
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,26 +32,67 @@ _DIGITS = re.compile(r"[0-9]+")
 _MOST = 2**63 - 1
 _ROWS = 5000
 
+#: Physical lines that one record may go on over.
+MOST_LINES = 10_000
+
+_FIELD, _QUOTED, _ENDED, _BROKEN = range(4)
+
 
 class Rejected(ValueError):
     """A line that fails; its text is the reason: 'quoting', 'columns' or 'value'."""
 
 
-def assemble(lines: Iterator[str]) -> Iterator[str]:
+def assemble(lines: Iterator[str], most: int = MOST_LINES) -> Iterator[str]:
     """Physical lines joined to records: a line feed inside an open quote continues the record.
 
-    A record whose quote never closes ends with the input.
+    A line whose quoting breaks, or whose quote isn't closed by the end of the input or
+    within ``most`` lines, is a broken record by itself, and reading goes on with the
+    line after it; so a stray quote costs its own line, not those that follow.
     """
-    held: list[str] = []
-    quotes = 0
-    for line in lines:
-        held.append(line)
-        quotes += line.count('"')
-        if quotes % 2 == 0:
+    again: deque[str] = deque()
+
+    def following() -> str | None:
+        return again.popleft() if again else next(lines, None)
+
+    while (line := following()) is not None:
+        held, state = [line], _after(line, _FIELD)
+        while state == _QUOTED and len(held) < most and (line := following()) is not None:
+            held.append(line)
+            state = _after(line, state)
+        if state == _ENDED:
             yield "\n".join(held)
-            held, quotes = [], 0
-    if held:
-        yield "\n".join(held)
+        else:
+            yield held[0]
+            again.extendleft(reversed(held[1:]))
+
+
+def _after(line: str, state: int) -> int:
+    """What a physical line leaves behind, entered at a field's start or inside a quoted one."""
+    at, n = 0, len(line)
+    while True:
+        if state == _QUOTED:
+            at = line.find('"', at)
+            if at < 0:
+                return _QUOTED
+            at += 1
+            if line.startswith('"', at):
+                at += 1
+                continue
+            if at == n or line[at:] == "\r":
+                return _ENDED
+            if line[at] != ",":
+                return _BROKEN
+        elif line.startswith('"', at):
+            state, at = _QUOTED, at + 1
+            continue
+        else:
+            stop = line.find(",", at)
+            if '"' in line[at : n if stop < 0 else stop]:
+                return _BROKEN
+            if stop < 0:
+                return _ENDED
+            at = stop
+        state, at = _FIELD, at + 1
 
 
 def _bare_quote(record: str) -> bool:

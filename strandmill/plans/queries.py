@@ -249,6 +249,13 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
+def stream_repeated_names(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated names of a stream, with state; of each name the first read to arrive isn't there."""
+    arriving = as_reads(streams.stream_reads(spark, f"{d}/fastq_reads.parquet"))
+    found = streams.collected(streams.repeated_names(arriving, "read_id", "received_at", "36500 days", ranges=16))
+    return found.select(display(F.col("name")).alias("name"), "read_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return parsing.split_loaded(parsing.parse_lines(table(spark, d, "lint_lines"), keep=["line_id"]))[1]
 
@@ -264,7 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         reads, name_rules, lint_reads, lint_p001, lint_s007, lint_level_low, lint_counts, pair_parity, filter_pattern, filter_names,
         filter_missing_segments, sample_fraction, sample_exact, describe_lengths, describe_files, describe_quality, describe,
         running_longest, describe_quality_all, describe_all, running_longest_all, describe_more, names_loaded, lint_s007_prefiltered, lint_totals,
-        lint_own_rules, filter_posix, filter_flags, filter_names_file, fastq_round_trip, fastq_gzip_round_trip, sample_exact_pairs, stream_lint, stream_daily, p6_found, p6_loaded,
+        lint_own_rules, filter_posix, filter_flags, filter_names_file, fastq_round_trip, fastq_gzip_round_trip, sample_exact_pairs, stream_lint, stream_daily, stream_repeated_names, p6_found, p6_loaded,
     )}
     return out | {f"lint_{s.code.lower()}": _lint(s.code) for s in validators.SINGLE}
 
@@ -392,6 +399,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_lint": f"WITH {_R} " + " UNION ALL ".join(_violation(c, *r) for c, r in _RULES.items()),
         "stream_daily": """SELECT strftime(received_at, '%Y-%m-%d') AS window_start, instrument_id, count(*) AS record_count FROM fastq_reads
             WHERE received_at IS NOT NULL GROUP BY ALL""",
+        "stream_repeated_names": f"""WITH {_R.replace("FROM fastq_reads", "FROM fastq_reads WHERE received_at IS NOT NULL AND segment = 0")}
+            SELECT name, read_id FROM (SELECT n AS name, read_id, row_number() OVER (PARTITION BY n ORDER BY read_id) AS nth FROM r) WHERE nth > 1""",
         "names_loaded": "SELECT count(DISTINCT name) AS names FROM name_list",
         "p6_found": _P6 + "SELECT line_id, reason FROM judged WHERE reason <> ''",
         "p6_loaded": _P6 + """SELECT line_id, file_id, strftime(logged_at, '%Y-%m-%d %H:%M:%S.%f') AS logged_at, f[1] AS source, CAST(f[2] AS BIGINT) AS record_no, CAST(f[3] AS BIGINT) AS definition_end,

@@ -51,8 +51,8 @@ def _stored_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_log(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows ``(path, line_no, line_text)``: the records of lint logs, for parse_lines().
 
-    Quote-aware: a line feed inside an open quote stays in its record, so a file is one
-    task, read as a stream.  Only LF ends a line; ``line_no`` is the record's, from 0.
+    Quote-aware (see assemble()): a line feed inside an open quote stays in its record, so
+    a file is one task, read as a stream.  Only LF ends a line; ``line_no`` is the record's, from 0.
     A log must be UTF-8.
     """
 

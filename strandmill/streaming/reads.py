@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,34 +44,45 @@ def windowed_counts(reads: DataFrame, time_col: str, width: str = "1 day", delay
     )
 
 
-def repeated_names(reads: DataFrame, order_col: str, time_col: str, delay: str = "7 days", separator: str | None = None) -> DataFrame:
+#: A range's state: 128 bits of each name, and when it was last read, in milliseconds.
+_STATE = T.StructType([T.StructField(c, T.BinaryType()) for c in ("h1", "h2", "last")])
+
+
+def repeated_names(reads: DataFrame, order_col: str, time_col: str, delay: str = "7 days", separator: str | None = None, ranges: int = 256) -> DataFrame:
     """First-segment reads whose name came before in the stream: rows ``(name, order_col)``.
 
-    The state is one number a name, the first read's order, and is dropped when event
-    time has passed the name's last read by ``delay``.  Reads without a time are left out.
+    Names are scattered over hash ranges, each with one state: arrays of 24 bytes a name,
+    looked up all at once, so Python is called once a range and batch, not once a name.
+    A name is dropped when event time has passed its last read by ``delay``.  Reads
+    without a time are left out.  ``ranges`` bounds the tasks that can share the work;
+    the more names are alive, the more there should be.
     """
     out = T.StructType([T.StructField("name", T.StringType()), T.StructField(order_col, T.LongType())])
-    state_schema = T.StructType([T.StructField("first", T.LongType())])
     hold = int(pd.Timedelta(delay).total_seconds() * 1000)
 
-    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames))
-        seen, latest = rows[order_col].sort_values(), int(rows[time_col].max().timestamp() * 1000)
-        first = state.get[0] if state.exists else None
-        repeats = seen if first is not None else seen.iloc[1:]
-        if first is None:
-            state.update((int(seen.iloc[0]),))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + hold)
+    def step(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order_col, kind="stable")
+        held = [np.frombuffer(x, dtype=np.int64) for x in (state.get if state.exists else (b"", b"", b""))]
+        now = state.getCurrentWatermarkMs()
+        alive = held[2] + hold >= now
+        new = [rows["h1"].to_numpy(), rows["h2"].to_numpy(), rows[time_col].to_numpy().astype("datetime64[ms]").astype(np.int64)]
+        h1, h2, last = (np.concatenate([x[alive], y]) for x, y in zip(held, new))
+        order = np.lexsort((np.arange(len(h1)), h2, h1))  # names together, those known before the batch's reads
+        h1, h2, last = h1[order], h2[order], last[order]
+        first = np.ones(len(h1), dtype=bool)
+        first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        latest = np.maximum.reduceat(last, np.flatnonzero(first))
+        state.update(tuple(x.tobytes() for x in (h1[first], h2[first], latest)))
+        repeats = rows.iloc[np.sort(order[~first]) - int(alive.sum())]
         if len(repeats):
-            yield pd.DataFrame({"name": key[0], order_col: repeats.astype("int64")})
+            yield pd.DataFrame({"name": repeats["name"], order_col: repeats[order_col].astype("int64")})
 
+    name = first_part(F.col("definition"), separator)
     named = reads.where((F.col("segment") == 0) & F.col(time_col).isNotNull()).select(
-        first_part(F.col("definition"), separator).alias("name"), F.col(order_col).cast("long").alias(order_col), F.col(time_col).cast("timestamp").alias(time_col)
+        name.alias("name"), F.xxhash64(name).alias("h1"), F.xxhash64(F.lit("second"), name).alias("h2"), F.pmod(F.xxhash64(name), F.lit(ranges)).alias("range"),
+        F.col(order_col).cast("long").alias(order_col), F.col(time_col).cast("timestamp").alias(time_col),
     )
-    return named.withWatermark(time_col, delay).groupBy("name").applyInPandasWithState(step, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return named.withWatermark(time_col, delay).groupBy("range").applyInPandasWithState(step, out, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -21,3 +21,14 @@ def test_streams(spark, tmp_path):
     assert sorted(r.record_count for r in daily.collect()) == [16, 24]
     repeats = S.collected(S.repeated_names(as_reads(S.stream_reads(spark, path, 1)), "read_id", "received_at"))
     assert repeats.count() == 20 - 10
+
+
+def test_names_are_forgotten_when_event_time_has_passed(spark, tmp_path):
+    day = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(days=n)
+    batches = [[(1, "@a", day(0)), (2, "@b", day(0)), (3, "@a", day(1))], [(4, "@a", day(2)), (5, "@c", day(12))], [(6, "@c", day(12)), (7, "@b", day(12)), (8, None, day(12)), (9, "@c", None)], [(10, "@b", day(13)), (11, "@a", day(13))]]
+    schema = "read_id long, record_no long, segment int, definition string, sequence string, plus_line string, quality string, received_at timestamp"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(n, n, 0, d, "A", "+", "F", t) for n, d, t in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+    found = S.collected(S.repeated_names(as_reads(S.stream_reads(spark, str(tmp_path / "r"), 1)), "read_id", "received_at", "3 days", ranges=2))
+    # Event time reaches day 12 with the second batch, so the third begins at day 9, when a and b are forgotten.
+    assert sorted((r.name, r.read_id) for r in found.collect()) == [("@a", 3), ("@a", 4), ("@b", 10), ("@c", 6)]
