@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.bytestrings import display
 from ..functions.names import first_part
+from ..plans.runtime import keep
 from ..schema import line_no
 from . import validators as V
 from .bloom import NAME_CAPACITY, NAME_RATE, ScalableBloomFilter
-from .pairs import pair_names
+from .pairs import names_of, pair_names
 
 #: The order in which violations are reported.
 ORDER = ["pass", "record_no", "validator_rank", "segment"]
@@ -27,16 +28,25 @@ def _shown(df: DataFrame, keys: list[str], sources: dict[int, str] | None) -> Da
     return df.select(*keys, src.alias("src"), "segment", "record_no", line_no(F.col("record_no"), F.col("line")).alias("line_no"), "col_no", "validator_code", "validator_name", "message", "pass", "validator_rank")
 
 
+def _with_failures(reads: DataFrame, specs: list[V.ValidatorSpec], keys: list[str], separator: str | None) -> DataFrame:
+    """Names of reads, with an array of what fails in each: all rules of a row at once."""
+    named = reads.select(*keys, "segment", "record_no", first_part(F.col("definition"), separator).alias("name"), "sequence", "plus_line", "quality")
+    found = F.filter(F.array(*[s.failure(rank) for rank, s in enumerate(specs)]), lambda x: x.isNotNull())
+    return named.select(*keys, "segment", "record_no", "name", found.alias("found"))
+
+
+def _failures(found: DataFrame, keys: list[str], sources: dict[int, str] | None) -> DataFrame:
+    rows = found.select(*keys, "segment", "record_no", F.explode("found").alias("f")).select(*keys, "segment", "record_no", "f.*", F.lit(1).alias("pass"))
+    return _shown(rows, keys, sources)
+
+
 def single_violations(reads: DataFrame, specs: list[V.ValidatorSpec], keys: list[str] | None = None, separator: str | None = None,
                       sources: dict[int, str] | None = None) -> DataFrame:
-    """Failures of record rules: one narrow pass, all rules of a row at once, no shuffle."""
+    """Failures of record rules: one narrow pass, no shuffle."""
     keys = keys or []
     if not specs:
         reads, specs = reads.where(F.lit(False)), V.SINGLE[:1]
-    named = reads.select(*keys, "segment", "record_no", first_part(F.col("definition"), separator).alias("name"), "sequence", "plus_line", "quality")
-    found = F.filter(F.array(*[s.failure(rank) for rank, s in enumerate(specs)]), lambda x: x.isNotNull())
-    rows = named.select(*keys, "segment", "record_no", F.explode(found).alias("f")).select(*keys, "segment", "record_no", "f.*", F.lit(1).alias("pass"))
-    return _shown(rows, keys, sources)
+    return _failures(_with_failures(reads, specs, keys, separator), keys, sources)
 
 
 def possible_duplicates(names: DataFrame, rate: float = NAME_RATE, capacity: int = NAME_CAPACITY) -> DataFrame:
@@ -73,8 +83,11 @@ def duplicate_names(reads: DataFrame, keys: list[str] | None = None, separator:
     one more scan passes numbers of names through Bloom filters first, and only names
     that may come again are aggregated: for files that hardly repeat any.
     """
-    keys = keys or []
-    named = reads.where(F.col("segment") == segment).select(*keys, "record_no", first_part(F.col("definition"), separator).alias("name"))
+    return _repeated(names_of(reads, keys, separator), keys or [], segment, sources, prefilter)
+
+
+def _repeated(names: DataFrame, keys: list[str], segment: int = 0, sources: dict[int, str] | None = None, prefilter: bool = False) -> DataFrame:
+    named = names.where(F.col("segment") == segment).select(*keys, "record_no", "name")
     if prefilter:
         number = F.xxhash64(*keys, "name")
         again = possible_duplicates(named.select(number.alias("number"))).withColumnRenamed("number", "_number")
@@ -93,18 +106,21 @@ def duplicate_names(reads: DataFrame, keys: list[str] | None = None, separator:
 def pair_violations(reads: DataFrame, specs: list[V.ValidatorSpec], rank: int, keys: list[str] | None = None, separator: str | None = None,
                     sources: dict[int, str] | None = None) -> DataFrame:
     """Failures of pair rules, reported at the first mate."""
-    keys = keys or []
+    return _mismatched(names_of(reads, keys, separator), specs, rank, keys or [], sources)
+
+
+def _mismatched(names: DataFrame, specs: list[V.ValidatorSpec], rank: int, keys: list[str], sources: dict[int, str] | None) -> DataFrame:
     if not specs:
-        reads, specs = reads.where(F.lit(False)), V.PAIRED
-    pairs = pair_names(reads, keys, separator).where(F.col("name_1").isNotNull() & F.col("name_2").isNotNull())
+        names, specs = names.where(F.lit(False)), V.PAIRED
+    pairs = pair_names(names, keys).where(F.col("name_1").isNotNull() & F.col("name_2").isNotNull())
     found = F.filter(F.array(*[s.failure(rank + i) for i, s in enumerate(specs)]), lambda x: x.isNotNull())
-    rows = pairs.select(*keys, F.lit(0).alias("segment"), "record_no", F.explode(found).alias("f")).select(*keys, "segment", "record_no", "f.*", F.lit(1).alias("pass"))
-    return _shown(rows, keys, sources)
+    return _failures(pairs.select(*keys, F.lit(0).alias("segment"), "record_no", found.alias("found")), keys, sources)
 
 
 def lint(reads: DataFrame, paired: bool = False, single_level: str = "high", paired_level: str = "high", disabled: Iterable[str] = (),
          separator: str | None = None, keys: list[str] | None = None, sources: dict[int, str] | None = None, duplicates: bool | None = None,
-         single: list[V.ValidatorSpec] | None = None, mates: list[V.ValidatorSpec] | None = None) -> DataFrame:
+         single: list[V.ValidatorSpec] | None = None, mates: list[V.ValidatorSpec] | None = None,
+         staged: bool = False) -> DataFrame:
     """All violations of a file or pair, or of each file of a table with the columns ``keys``.
 
     Unpaired: record rules up to ``single_level`` on segment 0.  Paired: record rules on
@@ -112,15 +128,26 @@ def lint(reads: DataFrame, paired: bool = False, single_level: str = "high", pai
     segment unless disabled by code (``duplicates`` asks for or skips them).  ``single``
     and ``mates`` are other record and pair rules than the built-in ones.  Rows come in
     no order; ORDER is the order of report.  Lines must not be null (see as_reads()).
+
+    Each rule of several records reads the names again, three times for all of them.
+    With ``staged`` names and failures are written once to the shared folder, and
+    ``reads`` is scanned once: for inputs that are slow to scan, as FASTQ files are.
     """
     disabled = list(disabled)
     specs = V.select(V.SINGLE if single is None else single, single_level, disabled)
     mates = V.select(V.PAIRED if mates is None else mates, paired_level, disabled)
-    out = single_violations(reads if paired else reads.where(F.col("segment") == 0), specs, keys, separator, sources)
+    keys, again = keys or [], (paired if duplicates is None else duplicates) and V.DUPLICATE[0] not in disabled
+    own = reads if paired else reads.where(F.col("segment") == 0)
+    if staged and (again or (paired and mates)):
+        names = keep(_with_failures(own, specs or V.SINGLE[:1], keys, separator), "names")
+        out = _failures(names if specs else names.where(F.lit(False)), keys, sources)
+    else:
+        names = names_of(reads, keys, separator)
+        out = single_violations(own, specs, keys, separator, sources)
     if paired and mates:
-        out = out.unionByName(pair_violations(reads, mates, len(specs), keys, separator, sources))
-    if (paired if duplicates is None else duplicates) and V.DUPLICATE[0] not in disabled:
-        out = out.unionByName(duplicate_names(reads, keys, separator, sources=sources))
+        out = out.unionByName(_mismatched(names, mates, len(specs), keys, sources))
+    if again:
+        out = out.unionByName(_repeated(names, keys, sources=sources))
     return out
 
 

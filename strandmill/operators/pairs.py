@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.names import first_part
 
 
-def pair_names(reads: DataFrame, keys: list[str] | None = None, separator: str | None = None) -> DataFrame:
-    """Rows ``(*keys, record_no, name_1, name_2)``; the name of a missing mate is null."""
-    name, keys = first_part(F.col("definition"), separator), keys or []
+def names_of(reads: DataFrame, keys: list[str] | None = None, separator: str | None = None) -> DataFrame:
+    """Rows ``(*keys, record_no, segment, name)``."""
+    return reads.select(*(keys or []), "record_no", "segment", first_part(F.col("definition"), separator).alias("name"))
+
+
+def pair_names(names: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows ``(*keys, record_no, name_1, name_2)`` of names_of(); the name of a missing mate is null."""
+    keys = keys or []
     return (
-        reads.where(F.col("segment").isin(0, 1)).select(*keys, "record_no", "segment", name.alias("name"))
+        names.where(F.col("segment").isin(0, 1))
         .groupBy(*keys, "record_no")
         .agg(*[F.max(F.when(F.col("segment") == s, F.col("name"))).alias(f"name_{s + 1}") for s in (0, 1)])
     )

@@ -82,12 +82,12 @@ def lint_files(spark: SparkSession, r1: str, r2: str | None = None, single_level
     disabled = list(disabled)
     short = pairs.parity(reads).first() if r2 is not None else None
     if short is None:
-        found, paired = L.lint(reads, r2 is not None, single_level, paired_level, disabled, separator, sources=sources), r2 is not None
+        found, paired = L.lint(reads, r2 is not None, single_level, paired_level, disabled, separator, sources=sources, staged=True), r2 is not None
         if log.isEnabledFor(logging.INFO):
             for row in L.totals(reads, found, paired, paired and L.V.DUPLICATE[0] not in disabled).orderBy("pass").collect():
                 log.info("validate_%s pass %d: record_count=%d failure_count=%d", "pair" if paired else "single", *row)
         return found, None
-    found = L.lint(reads.where(F.col("record_no") < short.first_unmatched), True, single_level, paired_level, disabled, separator, sources=sources, duplicates=False)
+    found = L.lint(reads.where(F.col("record_no") < short.first_unmatched), True, single_level, paired_level, disabled, separator, sources=sources, duplicates=False, staged=True)
     return found, f"r{short.ended + 1}-src unexpectedly ended"
 
 

@@ -38,7 +38,7 @@ _VIOLATION = [*FILE, "segment", "record_no", "line_no", "col_no", "validator_cod
 
 def lint_reads(spark: SparkSession, d: str) -> DataFrame:
     """All rules over all files, pairs together."""
-    return lint.lint(_reads(spark, d), paired=True, keys=FILE).select(*_VIOLATION, "validator_name", "pass", "validator_rank")
+    return lint.lint(_reads(spark, d), paired=True, keys=FILE, staged=True).select(*_VIOLATION, "validator_name", "pass", "validator_rank")
 
 
 def _lint(code: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -80,7 +80,7 @@ def lint_level_low(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lint_counts(spark: SparkSession, d: str) -> DataFrame:
-    return lint.lint(_reads(spark, d), paired=True, keys=FILE).groupBy("validator_code").agg(F.count(F.lit(1)).alias("failure_count"))
+    return lint.lint(_reads(spark, d), paired=True, keys=FILE, staged=True).groupBy("validator_code").agg(F.count(F.lit(1)).alias("failure_count"))
 
 
 def pair_parity(spark: SparkSession, d: str) -> DataFrame:
@@ -172,14 +172,11 @@ def sample_exact(spark: SparkSession, d: str) -> DataFrame:
 
 def sample_exact_pairs(spark: SparkSession, d: str) -> DataFrame:
     """An exact sample of all records as one file of pairs, mates together; a record delivered again counts once."""
-    once = table(spark, d, "fastq_reads").select(_PLACE.alias("record_no"), "segment").distinct()
+    place = F.col("file_id") * 2**32 + F.col("record_no")  # all files as one
+    once = table(spark, d, "fastq_reads").select(place.alias("record_no"), "segment").distinct()
     return sampling.sample_exact(once, 1000, SEED)
 
 
-#: All records of all files as one file: a number for each.
-_PLACE = F.expr("file_id * 4294967296 + record_no")
-
-
 def describe_lengths(spark: SparkSession, d: str) -> DataFrame:
     return metrics.describe_lengths(_reads(spark, d))
 

@@ -2,6 +2,8 @@
 
 import importlib.util
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -19,6 +21,11 @@ def test_sql_belongs_to_queries():
     assert set(entry().oracle_sql()) <= set(entry().queries())
 
 
+def test_queries_are_named_without_a_session():
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert len(e.queries()) > 30 and e.oracle_sql(); assert SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.join(os.path.dirname(__file__), ".."), check=True)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_core_queries_match_sql(spark):
     import duckdb
