@@ -98,6 +98,12 @@ def _with_longest(reads: DataFrame, length: Column) -> DataFrame:
     )
 
 
+def undecodable(reads: DataFrame) -> DataFrame:
+    """Rows ``(record_no,)``: records at which mean_quality() fails, having a byte below the lowest score within the longest sequence so far."""
+    ordered = running_longest(reads.select("record_no", "sequence", "quality"))
+    return ordered.where(F.substr("quality", F.lit(1), F.col("longest").cast("int")).rlike("[\\x00-\\x20]")).select("record_no")
+
+
 def _passes(reads: DataFrame, strict: bool | None, skip_invalid: bool) -> DataFrame:
     """Sums per position, and what lies at position -1; see mean_quality().
 

@@ -34,11 +34,6 @@ def _digest(seed: int, keys: list[str]) -> Column:
     return F.substring(F.md5(F.concat_ws(":", *parts)), 1, DIGITS)
 
 
-def uniform(seed: int, keys: list[str] | None = None) -> Column:
-    """A number in [0, 1) for each record, one for all its segments."""
-    return F.conv(_digest(seed, keys or []), 16, 10).cast("long") / F.lit(float(16**DIGITS))
-
-
 def sample_fraction(reads: DataFrame, probability: float, seed: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Each record whose uniform number is at most the probability, all its segments together: a narrow filter, no shuffle."""
     most = int(check_probability(probability) * 16**DIGITS)
@@ -71,7 +66,8 @@ def exact_cut(reads: DataFrame, n: int, seed: int) -> tuple[Column, DataFrame |
 def sample_exact(reads: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """Exactly ``n`` records of a file, or all if it has fewer, all their segments together.
 
-    Fails for a file without records, even if none are asked for.
+    Segment 0 decides; the others must have the same records (see pairs.parity()).  Fails
+    for a file without records, even if none are asked for.
     """
     if n < 0:
         raise ValueError(f"invalid record count: {n}")

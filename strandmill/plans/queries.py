@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytestrings import display
 from ..functions.names import first_part, name_id
+from ..functions.quality import error_probability, phred_score
 from ..operators import filters, lint, metrics, pairs, parsing, sampling, validators
 from ..schema import as_reads
 from ..sources import fastq, files, text
@@ -118,28 +119,64 @@ def filter_names_file(spark: SparkSession, d: str) -> DataFrame:
 _NO_NAME = r"(?s)\A([/ ][^/ ]*)?\z"
 
 
-def _through_file(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """All reads, in order of arrival, written as one FASTQ file and read again."""
-    path = new_folder(spark, "fastq") + name
+def _through_files(spark: SparkSession, d: str, names: list[str], by_segment: bool = False, copied: bool = False) -> DataFrame:
+    """All reads, in order of arrival, written as FASTQ files, one or one a segment, and read again."""
+    paths = [new_folder(spark, "fastq") + name for name in names]
+    copies = [new_folder(spark, "copy") + name for name in names] if copied else []
     numbered = _reads(spark, d).withColumn("record_no", F.col("read_id"))
-    fastq.write_fastq(numbered, path)
     try:
-        again = keep(fastq.read_fastq(spark, path, split_bytes=1 << 20), "reads")
+        fastq.write_segments(numbered if by_segment else numbered.withColumn("segment", F.lit(0)), paths)
+        for path, copy in zip(paths, copies):
+            text.copy_bytes(path, copy)
+        again = keep(fastq.read_segments(spark, copies or paths, split_bytes=1 << 20), "reads")
     finally:
-        files.remove(path)
-    return again.select("record_no", *[display(F.col(c)).alias(c) for c in ("definition", "sequence", "plus_line", "quality")])
+        for path in paths + copies:
+            files.remove(path)
+    return again.select("record_no", *(["segment"] if by_segment else []), *[display(F.col(c)).alias(c) for c in ("definition", "sequence", "plus_line", "quality")])
 
 
 def fastq_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Through a plain file, which is read in splits."""
-    return _through_file(spark, d, ".fastq")
+    return _through_files(spark, d, [".fastq"])
 
 
 def fastq_gzip_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Through a file of gzip members."""
-    return _through_file(spark, d, ".fastq.gz")
+    return _through_files(spark, d, [".fastq.gz"])
 
 
+def fastq_copy_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Through a raw copy of a file."""
+    return _through_files(spark, d, [".fastq"], copied=True)
+
+
+def fastq_segments_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Through a file for each segment, one of them compressed."""
+    return _through_files(spark, d, [".1.fastq", ".2.fastq.gz"], by_segment=True)
+
+
+def line_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a plain and of a compressed file of all reads."""
+    paths = [new_folder(spark, "lines") + name for name in (".fastq", ".fastq.gz")]
+    try:
+        for path in paths:
+            fastq.write_fastq(_reads(spark, d).withColumn("record_no", F.col("read_id")), path)
+        return keep(fastq.line_counts(spark, paths, 1 << 20).select(F.substring_index("path", ".", -1).alias("extension"), "lines"), "lines")
+    finally:
+        for path in paths:
+            files.remove(path)
+
+
+def phred_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Each score of a quality byte as an error probability, and back."""
+    scores = spark.range(94).select(F.col("id").cast("int").alias("score"))
+    return scores.select("score", error_probability(F.col("score")).alias("probability"), F.round(phred_score(error_probability(F.col("score"))), 9).alias("again"))
+
+
+def quality_undecodable(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose scores the mean quality refuses."""
+    return metrics.undecodable(_every(_reads(spark, d)))
+
 def filter_names(spark: SparkSession, d: str) -> DataFrame:
     named = _reads(spark, d).where(~((F.col("segment") == 0) & F.col("definition").rlike(_NO_NAME)))
     return filters.filter_names(named, as_list(table(spark, d, "name_list")), FILE).select("read_id", "file_id", "record_no", "segment")
@@ -174,7 +211,8 @@ def sample_exact_pairs(spark: SparkSession, d: str) -> DataFrame:
     """An exact sample of all records as one file of pairs, mates together; a record delivered again counts once."""
     place = F.col("file_id") * 2**32 + F.col("record_no")  # all files as one
     once = table(spark, d, "fastq_reads").select(place.alias("record_no"), "segment").distinct()
-    return sampling.sample_exact(once, 1000, SEED)
+    whole = once.join(once.where("segment = 0").select("record_no"), "record_no", "left_semi")  # lost first mates aren't records of a pair of files
+    return sampling.sample_exact(whole.select("record_no", "segment"), 1000, SEED)
 
 
 def describe_lengths(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +306,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         reads, name_rules, lint_reads, lint_p001, lint_s007, lint_level_low, lint_counts, pair_parity, filter_pattern, filter_names,
         filter_missing_segments, sample_fraction, sample_exact, describe_lengths, describe_files, describe_quality, describe,
         running_longest, describe_quality_all, describe_all, running_longest_all, describe_more, names_loaded, lint_s007_prefiltered, lint_totals,
-        lint_own_rules, filter_posix, filter_flags, filter_names_file, fastq_round_trip, fastq_gzip_round_trip, sample_exact_pairs, stream_lint, stream_daily, stream_repeated_names, p6_found, p6_loaded,
+        lint_own_rules, filter_posix, filter_flags, filter_names_file, fastq_round_trip, fastq_gzip_round_trip,
+        fastq_copy_round_trip, fastq_segments_round_trip, line_counts, phred_scalars, quality_undecodable, sample_exact_pairs, stream_lint, stream_daily, stream_repeated_names, p6_found, p6_loaded,
     )}
     return out | {f"lint_{s.code.lower()}": _lint(s.code) for s in validators.SINGLE}
 
@@ -363,6 +402,11 @@ def oracle_sql() -> dict[str, str]:
         "filter_names_file": f"WITH {_R}, {_filtered(_NAMED + " (SELECT regexp_replace(name, chr(13) || '$', '') FROM name_list WHERE name IS NOT NULL)")}",
         "fastq_round_trip": _ROUND_TRIP,
         "fastq_gzip_round_trip": _ROUND_TRIP,
+        "fastq_copy_round_trip": _ROUND_TRIP,
+        "fastq_segments_round_trip": _ROUND_TRIP.replace("OVER (ORDER BY read_id) - 1 AS record_no", "OVER (PARTITION BY segment ORDER BY read_id) - 1 AS record_no, segment"),
+        "line_counts": "SELECT unnest(['fastq', 'gz']) AS extension, CAST(4 * count(*) AS BIGINT) AS lines FROM fastq_reads",
+        "phred_scalars": "SELECT CAST(s AS INTEGER) AS score, pow(10.0, -s / 10.0) AS probability, CAST(s AS DOUBLE) AS again FROM (SELECT unnest(range(94)) AS s)",
+        "quality_undecodable": f"WITH {_BYTES} SELECT record_no FROM l WHERE regexp_matches(left(h, CAST(2 * longest AS INTEGER)), '^([0-9A-F]{{2}})*([01][0-9A-F]|20)')",
         "sample_exact_pairs": f"""WITH once AS (SELECT DISTINCT file_id * 4294967296 + record_no AS record_no, segment FROM fastq_reads)
             SELECT record_no, segment FROM once WHERE record_no IN (SELECT record_no FROM once WHERE segment = 0 ORDER BY {_digits("record_no")}, record_no LIMIT 1000)""",
         "describe_all": f"""WITH {_BYTES} SELECT {_LENGTHS}, (SELECT string_agg(printf('%.6f', coalesce(mean_quality, CAST('NaN' AS DOUBLE))), ',' ORDER BY position) FROM

@@ -18,9 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used where a session on one machine, as in tests, names no spark.checkpoint.dir.
 LOCAL_CHECKPOINT_DIR = "/tmp/strandmill-checkpoints"
 
-#: Bytes below which Spark cuts no further splits.
-SMALL_SPLIT = 4 << 20
-
 _shipped: set[str] = set()
 
 #: Folders of kept tables, with their session and what tells whether a plan still reads them.
@@ -101,17 +98,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores, if it is so small that its scan would leave most of them idle.
-
-    For work that is slow by row, as tokenizing is.  The planner's estimate of its size
-    decides, so no more than SMALL_SPLIT bytes a core are ever shuffled for it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * SMALL_SPLIT else df
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back.
 

@@ -18,20 +18,6 @@ READS = T.StructType([
     *[T.StructField(name, T.StringType(), False) for name in LINES],
 ])
 
-#: One failed rule of one record.
-VIOLATIONS = T.StructType([
-    T.StructField("src", T.StringType()),
-    T.StructField("segment", T.IntegerType()),
-    T.StructField("record_no", T.LongType()),
-    T.StructField("line_no", T.LongType()),
-    T.StructField("col_no", T.LongType()),
-    T.StructField("validator_code", T.StringType()),
-    T.StructField("validator_name", T.StringType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("pass", T.IntegerType()),
-    T.StructField("validator_rank", T.IntegerType()),
-])
-
 
 def as_reads(df: DataFrame) -> DataFrame:
     """Rows of a UTF-8 table with the lines in byte form; a missing line is an empty one."""

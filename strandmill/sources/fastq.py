@@ -294,6 +294,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
 
 
+def line_counts(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Rows ``(path, lines)``: line feeds of each decompressed file, counted by tasks, ranges of plain files by themselves."""
+    rows = [(p, *r, files.is_gzip(p)) for p in paths for r in ranges_of(p, split_bytes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, stop, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_pydict({"path": [path], "lines": [count_lines(path) if whole else count_feeds(path, start, stop)]})
+
+    ranges = spark.createDataFrame(rows, "path string, start long, stop long, whole boolean").repartition(max(1, min(len(rows), MOST_TASKS)))
+    return ranges.mapInArrow(run, "path string, lines long").groupBy("path").agg(F.sum("lines").alias("lines"))
+
+
 def _counted(spark: SparkSession, path: str, ranges: list[tuple[int, int]]) -> list[int]:
     """Line feeds of each range, counted by tasks: a row a range reaches the driver."""
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "i long, start long, stop long").repartition(len(ranges), "i")
