@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import keep, shuffle_partitions
+from ..plans.runtime import keep, new_folder, shuffle_partitions, tend
 from .perfect_hash import SealedPartition
 from .prefilter import may_match
 
@@ -276,14 +276,17 @@ def seen_by_piece(df: DataFrame, key_col: str, order_col: str, piece_col: str, r
     pieces = sorted((r[0] for r in _asked(df, key_col, [order_col]).select(piece_col).distinct().limit(MOST_PIECES + 1).collect()), key=lambda x: (x is not None, x))
     if len(pieces) > MOST_PIECES:
         raise ValueError(f"more than {MOST_PIECES} pieces")
-    index, kind = new_index(spark, ranges), df.schema[piece_col].dataType
-    found = spark.createDataFrame([], T.StructType([T.StructField("_piece", kind), T.StructField("_ord", T.LongType()), T.StructField("_key", T.StringType()), T.StructField("how", T.IntegerType())]))
+    kind, store = df.schema[piece_col].dataType, new_folder(spark, "seen")
+    schema = T.StructType([*INDEX.fields, T.StructField("ord", T.LongType()), T.StructField("key", T.StringType()), T.StructField("how", T.IntegerType()), T.StructField("piece", kind), T.StructField("stored", T.BooleanType())])
+    # One folder, to which each piece adds its answers and its sealed partitions: the plan of a piece is the same for all.
+    told = new_index(spark, ranges).withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema[3:-1]} | {"stored": F.lit(True)})
+    told.write.partitionBy("stored").parquet(store)
+    read = lambda stored: spark.read.schema(schema).parquet(store).where(F.col("stored") == stored)
     for piece in pieces:
         of_piece = F.col(piece_col).isNull() if piece is None else F.col(piece_col) == F.lit(piece)
-        done = keep(seen_candidates(df.where(of_piece), key_col, order_col, index_ranges(index), index, seal_keys, emit_sealed=True).drop("h1", "h2"), "piece")
-        index = index.unionByName(sealed_rows(done))
-        answers = done.where(F.col("how") != STORED)
-        found = found.unionByName(answers.select(F.lit(piece).cast(kind).alias("_piece"), F.col("ord").alias("_ord"), F.col("key").alias("_key"), "how"))
+        rows = seen_candidates(df.where(of_piece), key_col, order_col, ranges, read(True), seal_keys, emit_sealed=True).drop("h1", "h2")
+        rows.withColumns({"piece": F.lit(piece).cast(kind), "stored": F.col("how") == STORED}).write.mode("append").partitionBy("stored").parquet(store)
+    found = tend(spark.read.schema(schema).parquet(store), store).where(~F.col("stored")).select(F.col("piece").alias("_piece"), F.col("ord").alias("_ord"), F.col("key").alias("_key"), "how")
     sure = found.where(F.col("how") != SEALED).select(F.col("_piece").alias(piece_col), F.col("_ord").alias(order_col))
     # A null piece has a place in the order too: the first.
     place = lambda p: F.struct(p.isNotNull().alias("named"), p.alias("piece"))
