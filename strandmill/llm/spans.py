@@ -293,7 +293,9 @@ def class_rows(verified: DataFrame, classes: DataFrame) -> DataFrame:
     """
     text = F.struct("doc", "second")
     sizes = classes.groupBy(text.alias("text")).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    links = verified.select("a", "b").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy(F.col("a").alias("text")).agg(F.count(F.lit(1)).alias("links"))
+    # Both directions from one row, so that the pairs are verified once.
+    sides = F.explode(F.array(F.struct(F.col("a").alias("text"), F.col("b").alias("other")), F.struct(F.col("b").alias("text"), F.col("a").alias("other"))))
+    links = verified.select(sides.alias("s")).select("s.text", "s.other").distinct().groupBy("text").agg(F.count(F.lit(1)).alias("links"))
     return classes.select(F.col("id").alias("doc_id"), text.alias("text")).join(sizes, "text").join(links, "text", "left").select("doc_id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
 
 
