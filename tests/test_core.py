@@ -200,3 +200,50 @@ def test_bytes(spark):
     df = spark.createDataFrame([(bytearray(b"@\xe9\xc3\xa9"),)], "b binary").select(from_bytes(F.col("b")).alias("t"))
     row = df.select("t", F.length("t").alias("n"), display(F.col("t")).alias("d")).first()
     assert (row.t, row.n, row.d) == ("@\xe9\xc3\xa9", 4, "@�é")
+
+
+def test_own_rules_of_pairs_and_staging(spark):
+    longer = V.ValidatorSpec("X001", "LongName", "low", lambda field, failed: F.when(F.length(field("name_1")) > F.length(field("name_2")), failed(V.NAME, 1, "longer")))
+    df = pair(spark, [("@abc/1", "ACGT", "+", "FFFF"), ("@b", "AXGT", "+", "FFFF"), ("@b", "", "+", "")], [("@a/2", "ACGT", "+", "FFFF"), ("@b", "ACGT", "+", "FFFF"), ("@b", "A", "+", "F")])
+    assert codes(lint.lint(df, paired=True, mates=[longer])) == ["X001", "S002", "S004", "S007"]
+    assert codes(lint.lint(df, paired=True, mates=[longer], paired_level="low", single=[], duplicates=False)) == ["X001"]
+    key = lambda r: tuple(map(str, r))
+    for how in ({}, {"single_level": "low"}, {"disabled": ["S007"]}, {"disabled": ["P001"]}, {"single": []}, {"separator": "b"}):
+        plain, staged = (sorted(map(key, lint.lint(df, paired=True, staged=s, **how).collect())) for s in (False, True))
+        assert plain == staged
+    totals = {r["pass"]: (r.record_count, r.failure_count) for r in lint.totals(df, lint.lint(df, paired=True), True).collect()}
+    assert totals == {1: (3, 3), 2: (3, 1)}
+    assert [tuple(r) for r in lint.totals(df.limit(0), lint.lint(df.limit(0))).collect()] == [(1, 0, 0)]
+
+
+def test_bloom_filters_hold_back_names_that_do_not_repeat(spark):
+    rows = [(f"@n{i % 700}", "A", "+", "F") for i in range(1000)] + [("@hot", "A", "+", "F")] * 50
+    df = records(spark, rows).repartition(5)
+    numbers = df.select(F.xxhash64("definition").alias("n")).unionByName(spark.createDataFrame([(None,)], "n long"))
+    again = {r.number for r in lint.possible_duplicates(numbers, 0.001, 64).collect()}
+    repeated = {r.h for r in df.groupBy("definition").count().where("count > 1").select(F.xxhash64("definition").alias("h")).collect()}
+    assert again >= repeated and len(again) < len(repeated) + 20
+    place = lambda found: sorted((r.record_no, r.message) for r in found.collect())
+    assert place(lint.duplicate_names(df, prefilter=True)) == place(lint.duplicate_names(df)) and lint.duplicate_names(df).count() == 349
+    assert lint.duplicate_names(df.limit(0), prefilter=True).count() == 0
+
+
+def test_own_metrics(spark):
+    df = records(spark, [("@a", "ACGT", "+", "!+5?"), ("@b", "AC", "+", "!!")])
+    row = metrics.describe(df, more=[metrics.Metric("bases", F.sum(F.length("sequence"))), metrics.Metric("longest_name", F.max("definition"))]).first()
+    assert (row.record_count, row.bases, row.longest_name, len(row.avg_quality_score_per_position)) == (2, 6, "@b", 4)
+
+
+def test_descriptions_scan_once(spark):
+    """Qualities no longer than their sequences need no second pass."""
+    df = records(spark, [("@a", "ACGT", "+", "II"), ("@b", "AC", "+", "II")])
+    passes = []
+    original = metrics._with_longest
+    try:
+        metrics._with_longest = lambda *a: passes.append(1) or original(*a)
+        assert metrics.describe(df).first().avg_quality_score_per_position[:2] == pytest.approx([40, 40]) and not passes
+        assert quality(records(spark, [("@a", "AC", "+", "III")])) and passes == [1]
+        assert quality(records(spark, [("@a", "AC", "+", "III")]), strict=False) == pytest.approx([40, 40]) and passes == [1]
+    finally:
+        metrics._with_longest = original
+    assert [r.record_no for r in metrics.undecodable(records(spark, [("@a", "AC", "+", "I "), ("@b", "AC", "+", "II "), ("@c", "ACG", "+", "II "), ("@d", "A", "+", "II ")])).orderBy("record_no").collect()] == [0, 2, 3]
