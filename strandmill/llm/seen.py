@@ -246,8 +246,9 @@ def _sealed(candidates: DataFrame, order_col: str) -> DataFrame:
     return candidates.where(F.col("how") == SEALED).select(F.col("key").alias("_key"), F.col("ord").alias(order_col))
 
 
-def _ranges(df: DataFrame, key_col: str, order_cols: list[str], seal_keys: int) -> int:
-    return ranges_for(_asked(df, key_col, order_cols).count(), seal_keys)
+def _ranges(df: DataFrame, seal_keys: int) -> int:
+    """Ranges for all rows: as many keys there are at most, and counting them reads no key."""
+    return ranges_for(df.count(), seal_keys)
 
 
 def seen_before(df: DataFrame, key_col: str, order_col: str, seal_keys: int = SEAL_KEYS) -> DataFrame:
@@ -256,8 +257,8 @@ def seen_before(df: DataFrame, key_col: str, order_col: str, seal_keys: int = SE
     Null and empty keys and rows without order are asked nothing and answer nothing.
     ``order_col`` should be unique; of rows tied in key and order all but one repeat.
     """
+    ranges = _ranges(df, seal_keys)
     df = df.withColumn(order_col, F.col(order_col).cast("long"))
-    ranges = _ranges(df, key_col, [order_col], seal_keys)
     candidates = keep(seen_candidates(df, key_col, order_col, ranges, seal_keys=seal_keys).select("ord", "key", "how"), "seen")
     sure = candidates.where(F.col("how") != SEALED).select(F.col("ord").alias(order_col))
     checked = exact_repeats(_sealed(candidates, order_col), df, key_col, [order_col]).where(~F.col("wrong"))
@@ -301,8 +302,8 @@ def error_report(df: DataFrame, key_col: str, order_col: str, seal_keys: int = S
 
     The kinds depend on how the input lies in pieces; their sum less the wrong answers doesn't.
     """
+    ranges = _ranges(df, seal_keys)
     df = df.withColumn(order_col, F.col(order_col).cast("long"))
-    ranges = _ranges(df, key_col, [order_col], seal_keys)
     candidates = keep(seen_candidates(df, key_col, order_col, ranges, seal_keys=seal_keys).select("ord", "key", "how"), "seen")
     lookups = _asked(df, key_col, [order_col]).agg(F.count(F.lit(1)).alias("lookups"))
     kinds = candidates.agg(*[
