@@ -14,6 +14,7 @@ from ..operators import filters, lint, metrics, pairs, parsing, sampling, valida
 from ..schema import as_reads
 from ..sources import fastq, files, text
 from ..streaming import reads as streams
+from . import commands
 from .runtime import keep, new_folder, remove, table
 
 FILE = ["file_id"]
@@ -167,6 +168,40 @@ def line_counts(spark: SparkSession, d: str) -> DataFrame:
             files.remove(path)
 
 
+def _commanded(spark: SparkSession, d: str, work: Callable[[str, str], DataFrame | None]) -> DataFrame:
+    """What a command makes of a file of all reads: the table it gives, or the file it writes."""
+    source, target = new_folder(spark, "source") + ".fastq", new_folder(spark, "target") + ".fastq"
+    try:
+        fastq.write_fastq(_reads(spark, d).withColumn("record_no", F.col("read_id")), source)
+        found = work(source, target)
+        return keep(fastq.read_fastq(spark, target) if found is None else found, "made")
+    finally:
+        files.remove(source)
+        files.remove(target)
+
+
+def _as_shown(reads: DataFrame) -> DataFrame:
+    return reads.select("record_no", *[display(F.col(c)).alias(c) for c in ("definition", "sequence", "plus_line", "quality")])
+
+
+def command_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The filter command from file to file."""
+    return _as_shown(_commanded(spark, d, lambda source, target: commands.filter_files(spark, [source], [target], sequence_pattern="^T(C|G)")))
+
+
+def command_subsample(spark: SparkSession, d: str) -> DataFrame:
+    """The subsample command from file to file, by an exact count."""
+    def work(source: str, target: str) -> None:
+        commands.subsample_files(spark, source, target, record_count=1000, seed=SEED)
+
+    return _as_shown(_commanded(spark, d, work))
+
+
+def command_lint(spark: SparkSession, d: str) -> DataFrame:
+    """The lint command over a file."""
+    return _commanded(spark, d, lambda source, _: commands.lint_files(spark, source)[0].select("line_no", "col_no", "validator_code", "message"))
+
+
 def phred_scalars(spark: SparkSession, d: str) -> DataFrame:
     """Each score of a quality byte as an error probability, and back."""
     scores = spark.range(94).select(F.col("id").cast("int").alias("score"))
@@ -307,7 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         filter_missing_segments, sample_fraction, sample_exact, describe_lengths, describe_files, describe_quality, describe,
         running_longest, describe_quality_all, describe_all, running_longest_all, describe_more, names_loaded, lint_s007_prefiltered, lint_totals,
         lint_own_rules, filter_posix, filter_flags, filter_names_file, fastq_round_trip, fastq_gzip_round_trip,
-        fastq_copy_round_trip, fastq_segments_round_trip, line_counts, phred_scalars, quality_undecodable, sample_exact_pairs, stream_lint, stream_daily, stream_repeated_names, p6_found, p6_loaded,
+        fastq_copy_round_trip, fastq_segments_round_trip, line_counts, command_filter, command_subsample, command_lint, phred_scalars, quality_undecodable, sample_exact_pairs, stream_lint, stream_daily, stream_repeated_names, p6_found, p6_loaded,
     )}
     return out | {f"lint_{s.code.lower()}": _lint(s.code) for s in validators.SINGLE}
 
@@ -378,6 +413,17 @@ def _filtered(chosen: str, records: str = "r") -> str:
 
 _CUT = lambda c: f"regexp_replace({c}, chr(13) || '$', '') AS {c}"  # noqa: E731  a carriage return before a line's end goes
 _ROUND_TRIP = f"WITH {_R} SELECT row_number() OVER (ORDER BY read_id) - 1 AS record_no, {', '.join(map(_CUT, ('definition', 'sequence', 'plus_line', 'quality')))} FROM r"
+_LINES = ("definition", "sequence", "plus_line", "quality")
+# The same as one file: a line feed ends a line, and a carriage return before it goes.
+_FILE = f"""r AS (SELECT *, regexp_extract(definition, '^[^/ ]*') AS n FROM (SELECT 0 AS file_id, 0 AS segment, row_number() OVER (ORDER BY read_id) - 1 AS record_no,
+    {', '.join(_CUT(f"coalesce({c}, '')").replace(f"AS coalesce({c}, '')", f"AS {c}") for c in _LINES)} FROM fastq_reads))"""
+
+
+def _written(chosen: str) -> str:
+    """The records of a file that a command writes, numbered anew."""
+    return f"WITH {_FILE} SELECT row_number() OVER (ORDER BY record_no) - 1 AS record_no, {', '.join(_LINES)} FROM r WHERE {chosen}"
+
+
 _NAMED = "NOT regexp_full_match(definition, '([/ ][^/ ]*)?') AND regexp_replace(substr(definition, 2), '[/ ][^/ ]*$', '') IN"
 
 
@@ -405,6 +451,9 @@ def oracle_sql() -> dict[str, str]:
         "fastq_copy_round_trip": _ROUND_TRIP,
         "fastq_segments_round_trip": _ROUND_TRIP.replace("OVER (ORDER BY read_id) - 1 AS record_no", "OVER (PARTITION BY segment ORDER BY read_id) - 1 AS record_no, segment"),
         "line_counts": "SELECT unnest(['fastq', 'gz']) AS extension, CAST(4 * count(*) AS BIGINT) AS lines FROM fastq_reads",
+        "command_filter": _written("regexp_matches(sequence, '^T(C|G)')"),
+        "command_subsample": _written(f"record_no IN (SELECT record_no FROM r ORDER BY {_digits('record_no')}, record_no LIMIT 1000)"),
+        "command_lint": f"WITH {_FILE} SELECT line_no, col_no, validator_code, message FROM ({" UNION ALL ".join(_violation(c, *r) for c, r in _RULES.items())})",
         "phred_scalars": "SELECT CAST(s AS INTEGER) AS score, pow(10.0, -s / 10.0) AS probability, CAST(s AS DOUBLE) AS again FROM (SELECT unnest(range(94)) AS s)",
         "quality_undecodable": f"WITH {_BYTES} SELECT record_no FROM l WHERE regexp_matches(left(h, CAST(2 * longest AS INTEGER)), '^([0-9A-F]{{2}})*([01][0-9A-F]|20)')",
         "sample_exact_pairs": f"""WITH once AS (SELECT DISTINCT file_id * 4294967296 + record_no AS record_no, segment FROM fastq_reads)
