@@ -424,7 +424,8 @@ def _written(chosen: str) -> str:
     return f"WITH {_FILE} SELECT row_number() OVER (ORDER BY record_no) - 1 AS record_no, {', '.join(_LINES)} FROM r WHERE {chosen}"
 
 
-_NAMED = "NOT regexp_full_match(definition, '([/ ][^/ ]*)?') AND regexp_replace(substr(definition, 2), '[/ ][^/ ]*$', '') IN"
+# A name is the definition without its first byte, so one whose first character has more bytes is no listed name.
+_NAMED = "NOT regexp_full_match(definition, '([/ ][^/ ]*)?') AND strlen(left(definition, 1)) = 1 AND regexp_replace(substr(definition, 2), '[/ ][^/ ]*$', '') IN"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -472,10 +473,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT file_id, min(record_no) AS first_unmatched, arg_min(CASE WHEN h1 = 0 THEN 0 ELSE 1 END, record_no) AS ended FROM k WHERE h1 <> h2 GROUP BY file_id""",
         "filter_pattern": f"""WITH {_R} SELECT read_id, file_id, record_no, segment FROM r WHERE segment = 0 AND sequence LIKE 'TC%' UNION ALL
             SELECT read_id, file_id, record_no, segment FROM r WHERE segment <> 0 AND (file_id, record_no) IN (SELECT (file_id, record_no) FROM r WHERE segment = 0 AND sequence LIKE 'TC%')""",
-        "filter_names": f"""WITH {_R}, f AS (SELECT * FROM r WHERE segment = 0 AND NOT regexp_full_match(definition, '([/ ][^/ ]*)?')
-            AND regexp_replace(substr(definition, 2), '[/ ][^/ ]*$', '') IN (SELECT name FROM name_list))
-            SELECT read_id, file_id, record_no, segment FROM f UNION ALL
-            SELECT read_id, file_id, record_no, segment FROM r WHERE segment <> 0 AND (file_id, record_no) IN (SELECT (file_id, record_no) FROM f)""",
+        "filter_names": f"WITH {_R}, {_filtered(_NAMED + ' (SELECT name FROM name_list)')}",
         "filter_missing_segments": f"""WITH {_R}, f AS (SELECT file_id, record_no FROM r WHERE segment = 0 AND sequence LIKE 'TC%')
             SELECT file_id, record_no FROM (SELECT DISTINCT file_id, record_no FROM f) WHERE (file_id, record_no) NOT IN (SELECT (file_id, record_no) FROM r WHERE segment <> 0)""",
         "sample_fraction": f"SELECT read_id, file_id, record_no, segment FROM fastq_reads WHERE {_digits('file_id' + chr(32) + '||' + chr(32) + chr(39) + ':' + chr(39) + ' || record_no')} / 4503599627370496.0 <= 0.33",
